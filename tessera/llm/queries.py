@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+from . import decontaminate
 from .pieces import encoded_digests, token_counts
 from .shared import table
+from .token_files import token_files_digest
+
+
+
+def op9_decontaminate(spark, sf_dir):
+    return decontaminate.digest(decontaminate.passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
 
 QUERIES = {
+    "op3_token_files": lambda spark, sf_dir: token_files_digest(table(spark, sf_dir, "documents")),
+    "op9_decontaminate": op9_decontaminate,
     "op4_sentencepiece": lambda spark, sf_dir: encoded_digests(table(spark, sf_dir, "documents")),
     "op10_token_counts": lambda spark, sf_dir: token_counts(table(spark, sf_dir, "documents")),
 }
