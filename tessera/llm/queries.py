@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import decontaminate
 from .pieces import encoded_digests, token_counts
 from .shared import table
+from .simhash import near_duplicates
 from .token_files import token_files_digest
 
 
@@ -15,6 +16,7 @@ def op9_decontaminate(spark, sf_dir):
 
 QUERIES = {
     "op3_token_files": lambda spark, sf_dir: token_files_digest(table(spark, sf_dir, "documents")),
+    "op6_simhash": lambda spark, sf_dir: near_duplicates(table(spark, sf_dir, "documents")),
     "op9_decontaminate": op9_decontaminate,
     "op4_sentencepiece": lambda spark, sf_dir: encoded_digests(table(spark, sf_dir, "documents")),
     "op10_token_counts": lambda spark, sf_dir: token_counts(table(spark, sf_dir, "documents")),
