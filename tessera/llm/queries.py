@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import decontaminate
 from .pieces import encoded_digests, token_counts
 from .shared import table
+from .sharding import shards_by_bytes
 from .simhash import near_duplicates
 from .token_files import token_files_digest
 from .toxicity import toxicity
@@ -17,6 +18,7 @@ def op9_decontaminate(spark, sf_dir):
 
 QUERIES = {
     "op1_toxicity": lambda spark, sf_dir: toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
+    "op2_sharding": lambda spark, sf_dir: shards_by_bytes(table(spark, sf_dir, "documents")),
     "op3_token_files": lambda spark, sf_dir: token_files_digest(table(spark, sf_dir, "documents")),
     "op6_simhash": lambda spark, sf_dir: near_duplicates(table(spark, sf_dir, "documents")),
     "op9_decontaminate": op9_decontaminate,
