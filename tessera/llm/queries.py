@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from . import decontaminate
+from .lines import line_dedup
 from .pieces import encoded_digests, token_counts
 from .shared import table
 from .sharding import shards_by_bytes
 from .simhash import near_duplicates
+from .spotsigs import edited_and_next
 from .token_files import token_files_digest
 from .toxicity import toxicity
 
@@ -20,7 +22,9 @@ QUERIES = {
     "op1_toxicity": lambda spark, sf_dir: toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op2_sharding": lambda spark, sf_dir: shards_by_bytes(table(spark, sf_dir, "documents")),
     "op3_token_files": lambda spark, sf_dir: token_files_digest(table(spark, sf_dir, "documents")),
+    "op5_line_dedup": lambda spark, sf_dir: line_dedup(table(spark, sf_dir, "documents")),
     "op6_simhash": lambda spark, sf_dir: near_duplicates(table(spark, sf_dir, "documents")),
+    "op8_spotsigs": lambda spark, sf_dir: edited_and_next(table(spark, sf_dir, "documents")),
     "op9_decontaminate": op9_decontaminate,
     "op4_sentencepiece": lambda spark, sf_dir: encoded_digests(table(spark, sf_dir, "documents")),
     "op10_token_counts": lambda spark, sf_dir: token_counts(table(spark, sf_dir, "documents")),

@@ -75,3 +75,14 @@ def arrow_rows(df: DataFrame, rows: Callable[[Iterator[dict]], Iterator[dict]],
 
 def document_order(column: str = "doc_id") -> list:
     return [F.col(column).asc_nulls_first()]
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of finished jobs: it waits for the driver's JVM to collect."""
+    spark.sparkContext._jvm.System.gc()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table's folder in the shared store."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
