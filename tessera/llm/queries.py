@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import decontaminate, warc
 from .lines import line_dedup
 from .pieces import encoded_digests, token_counts
 from .shared import table
@@ -24,10 +24,11 @@ QUERIES = {
     "op3_token_files": lambda spark, sf_dir: token_files_digest(table(spark, sf_dir, "documents")),
     "op5_line_dedup": lambda spark, sf_dir: line_dedup(table(spark, sf_dir, "documents")),
     "op6_simhash": lambda spark, sf_dir: near_duplicates(table(spark, sf_dir, "documents")),
+    "op7_warc": lambda spark, sf_dir: warc.revisits(table(spark, sf_dir, "pages")),
     "op8_spotsigs": lambda spark, sf_dir: edited_and_next(table(spark, sf_dir, "documents")),
     "op9_decontaminate": op9_decontaminate,
     "op4_sentencepiece": lambda spark, sf_dir: encoded_digests(table(spark, sf_dir, "documents")),
     "op10_token_counts": lambda spark, sf_dir: token_counts(table(spark, sf_dir, "documents")),
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_warc": warc.SQL}
