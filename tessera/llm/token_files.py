@@ -39,6 +39,15 @@ MAGIC, VERSION = b"TIDS", 1
 HEAD, ROW = struct.Struct("<4sBB32sI"), struct.Struct("<BqQI")
 
 
+def byte_level() -> dict[int, int]:
+    """Byte-level BPE writes visible bytes as themselves and the others as characters from 256 on."""
+    hidden = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+    return {b: 256 + i for i, b in enumerate(hidden)}
+
+
+BYTE_LEVEL = byte_level()
+
+
 class WordTable(dict):
     """word -> its ids as little-endian bytes; bounded by two generations."""
 
@@ -48,12 +57,32 @@ class WordTable(dict):
         super().__init__()
         self.tokenizer, self.generation, self.longest, self.old = Tokenizer.from_file(tokenizer_file(model)), generation, longest, {}
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.model = self.tokenizer.model
         self[""] = b""
 
+    def ids(self, word: str) -> bytes:
+        """A word's ids; its parts are looked up where the library would split or lower it alike.
+
+        Closing marks after a letter or digit are tokens of their own. A word of Latin letters
+        (composed, and lower-cased letter by letter) is one pre-token, which goes to the
+        library's merges without its normalizer. All else is encoded by the whole library.
+        """
+        core = word.rstrip(".,;:!?")
+        if core and core != word and core[-1].isalnum():
+            return self[core] + self[word[len(core) :]]
+        if word.isalpha() and max(word) < "\u0250" and "\u0130" not in word:
+            low = word.lower()
+            if low != word:
+                return self[low]
+            found = [t.id for t in self.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_LEVEL))]
+        else:
+            found = self.tokenizer.encode(word, add_special_tokens=False).ids
+        return np.array(found, f"<u{self.width}").tobytes()
+
     def __missing__(self, word: str) -> bytes:
         found = self.old.get(word)
         if found is None:
-            found = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, f"<u{self.width}").tobytes()
+            found = self.ids(word)
             if len(word) > self.longest:
                 return found
         if len(self) >= self.generation:

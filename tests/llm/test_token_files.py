@@ -16,7 +16,7 @@ def ids(text):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(alphabet=st.sampled_from("aB '\n.s\x1ćé日<|>1t"), max_size=30))
+@given(st.text(alphabet=st.sampled_from("aB '\n.,Éßſǅİ²ªs\x1ćé日<|>1t"), max_size=30))
 def test_words_give_the_ids_of_the_text(text):
     assert np.frombuffer(tf.word_table(WORD_MODEL).serialized(text, 1), "<u2").tolist() == ids(text)
 
@@ -39,3 +39,10 @@ def test_round_trip(spark):
     with pytest.raises(ValueError):
         tf.index(content, b"another dictionary")
     assert tf.token_files_digest(df.limit(0)).count() == 0
+
+
+def test_words_of_documents():
+    import pyarrow.parquet as pq
+
+    for text in pq.read_table("/root/testdata/sf0.001/documents.parquet")["text"].to_pylist():
+        assert np.frombuffer(tf.word_table(WORD_MODEL).serialized(text, 1), "<u2").tolist() == ids(text)
