@@ -8,6 +8,7 @@ import hmac
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .text import collapse
 
@@ -54,7 +55,7 @@ def keyed_hash(salt: str, lower: bool = False):
     """HMAC-SHA256 of a string column under a salt (there is no built-in one)."""
     key = salt.encode()
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda x: hmac.new(key, (x.strip().lower() if lower else x).encode(), hashlib.sha256).hexdigest(), na_action="ignore")
 

@@ -9,6 +9,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # What is masked, in this order.
 PATTERNS = [
@@ -66,14 +67,14 @@ def pseudonyms(key: str):
     pattern = re.compile(PATTERNS[0][1])
     name = lambda m: "<EMAIL_" + hmac.new(key.encode(), m[0].lower().encode(), hashlib.sha256).hexdigest()[:8] + ">"
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda x: pattern.sub(name, x), na_action="ignore")
 
     return run
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def mask_json(s: pd.Series) -> pd.Series:
     """JSON objects with the values of sensitive keys masked at any depth; `type` only of service accounts."""
 

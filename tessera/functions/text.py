@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 WORD = r"(?U)\w+"
 # Facets and the keywords that hint at them.
@@ -39,12 +40,12 @@ QUESTION_WORDS = [
 ]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc_visible(s: pd.Series) -> pd.Series:
     """NFKC without invisible characters (controls, formats, surrogates), stripped."""
     return s.map(lambda x: "".join(c for c in unicodedata.normalize("NFKC", x) if unicodedata.category(c) not in ("Cc", "Cf", "Cs")).strip(), na_action="ignore")

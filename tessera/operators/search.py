@@ -91,7 +91,7 @@ def fused(vector: DataFrame, lexical_: DataFrame, alpha: float, k: int) -> DataF
     wv = F.when(F.col("has_l"), alpha).otherwise(1.0)
     wl = F.when(F.col("has_v"), 1 - alpha).otherwise(1.0)
     score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), part("vrank", wv) + part("lrank", wl)))
-    return both.select("query_id", "id", "vrank", "lrank", F.round(score, 6).alias("fused"))
+    return both.select("query_id", "id", "vrank", "lrank", F.round(score, 9).alias("fused"))
 
 
 def first_seen() -> list[Column]:

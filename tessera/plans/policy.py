@@ -12,17 +12,16 @@ from ..operators import policy as po
 from .registry import query
 from .scalars import HOST, PATH
 
-I = F.col("doc_id")  # noqa: E741
 STATE = "CASE doc_id % 5 WHEN 0 THEN 'deleted' WHEN 1 THEN 'retired' WHEN 2 THEN 'active' END"
 
 
 def state():
-    return F.when(I % 5 == 0, "deleted").when(I % 5 == 1, "retired").when(I % 5 == 2, "active")
+    return F.when(F.col("doc_id") % 5 == 0, "deleted").when(F.col("doc_id") % 5 == 1, "retired").when(F.col("doc_id") % 5 == 2, "active")
 
 
 @query("scope_strict", "SELECT doc_id FROM documents WHERE source IN ('src1', 'src2') AND lang = 'en' AND doc_id % 4 <> 3")
 def _(t):
-    d = t.documents.select("doc_id", F.col("lang").alias("case_id"), F.col("source").alias("collection_id"), F.when(I % 4 == 3, "false").when(I % 4 == 2, "true").alias("is_latest"))
+    d = t.documents.select("doc_id", F.col("lang").alias("case_id"), F.col("source").alias("collection_id"), F.when(F.col("doc_id") % 4 == 3, "false").when(F.col("doc_id") % 4 == 2, "true").alias("is_latest"))
     return d.where(po.scope({"collection_ids": ["src1", "src2", "src1"], "tenant": " ", "case_id": "fr"}, case_id="en")).select("doc_id")
 
 
@@ -34,7 +33,7 @@ def _(t):
 
 @query("visibility", f"SELECT doc_id, coalesce({STATE}, 'active') = 'active' AND doc_id % 3 <> 0 AS active, NOT (coalesce({STATE}, 'active') = 'active' AND doc_id % 3 <> 0) AS deleted, true AS everything FROM documents")
 def _(t):
-    chunk = F.when(I % 3 == 0, "deleted")
+    chunk = F.when(F.col("doc_id") % 3 == 0, "deleted")
     return t.documents.select("doc_id", po.visible(state(), chunk).alias("active"), po.visible(state(), chunk, "deleted", True).alias("deleted"), po.visible(state(), chunk, "all", True).alias("everything"))
 
 
@@ -107,7 +106,7 @@ def _(t):
 def _(t):
     rules = t.spark.createDataFrame([("src1", None, None, "en", None, "late"), ("src1", None, None, None, None, "agentic"), (None, None, None, "fr", None, "late"), (None, None, None, "es", None, "a"), (None, None, None, "es", None, "b")], ", ".join(f"{c} string" for c in po.SELECTORS) + ", profile string")
     none = F.lit(None).cast("string")
-    items = t.documents.select(I.alias("id"), F.col("source").alias("collection_id"), none.alias("workflow_id"), none.alias("process"), F.col("lang").alias("doc_class"), none.alias("tenant"))
+    items = t.documents.select(F.col("doc_id").alias("id"), F.col("source").alias("collection_id"), none.alias("workflow_id"), none.alias("process"), F.col("lang").alias("doc_class"), none.alias("tenant"))
     return po.routed(items, rules, "standard")
 
 
@@ -145,16 +144,16 @@ def _(t):
 
 @query("upsert_decision", "WITH s AS (SELECT doc_id AS key, CASE WHEN doc_id % 3 = 0 THEN md5(text || '!') ELSE md5(text) END AS h FROM documents WHERE doc_id % 2 = 0), held AS (SELECT h, min(key) AS holder FROM s GROUP BY h) SELECT d.doc_id AS key, CASE WHEN s.h = md5(d.text) THEN 'skipped' WHEN s.h IS NOT NULL THEN 'replaced' WHEN holder IS NOT NULL THEN 'linked' WHEN d.doc_id % 11 = 0 THEN 'near_duplicate_skipped' ELSE 'inserted' END AS action FROM documents d LEFT JOIN s ON s.key = d.doc_id LEFT JOIN held ON held.h = md5(d.text)")
 def _(t):
-    new = t.documents.select(I.alias("key"), F.md5("text").alias("hash"))
-    stored = t.documents.where(I % 2 == 0).select(I.alias("key"), F.when(I % 3 == 0, F.md5(F.concat("text", F.lit("!")))).otherwise(F.md5("text")).alias("hash"))
-    near = t.documents.where(I % 11 == 0).select(I.alias("key"), F.lit(0).alias("other"))
+    new = t.documents.select(F.col("doc_id").alias("key"), F.md5("text").alias("hash"))
+    stored = t.documents.where(F.col("doc_id") % 2 == 0).select(F.col("doc_id").alias("key"), F.when(F.col("doc_id") % 3 == 0, F.md5(F.concat("text", F.lit("!")))).otherwise(F.md5("text")).alias("hash"))
+    near = t.documents.where(F.col("doc_id") % 11 == 0).select(F.col("doc_id").alias("key"), F.lit(0).alias("other"))
     return lc.upsert_decisions(new, stored, near)
 
 
 @query("exact_delta", "SELECT doc_id AS key, CASE WHEN doc_id % 2 = 1 THEN 'new' WHEN doc_id % 3 = 0 THEN 'changed' ELSE 'unchanged' END AS status, (CASE WHEN doc_id % 2 = 1 THEN 1 WHEN doc_id % 3 = 0 THEN 5 ELSE 4 END)::int AS version FROM documents")
 def _(t):
-    new = t.documents.select(I.alias("key"), F.md5("text").alias("hash"))
-    old = t.documents.where(I % 2 == 0).select(I.alias("key"), F.when(I % 3 == 0, F.lit("x")).otherwise(F.md5("text")).alias("hash"), F.lit(4).alias("version"))
+    new = t.documents.select(F.col("doc_id").alias("key"), F.md5("text").alias("hash"))
+    old = t.documents.where(F.col("doc_id") % 2 == 0).select(F.col("doc_id").alias("key"), F.when(F.col("doc_id") % 3 == 0, F.lit("x")).otherwise(F.md5("text")).alias("hash"), F.lit(4).alias("version"))
     return lc.delta(new, old.union(old.select("key", F.lit("older"), F.lit(1))))
 
 
@@ -219,7 +218,7 @@ def _(t):
 
 @query("changed_fields", "SELECT doc_id, list_filter([CASE WHEN doc_id % 2 = 0 THEN 'lang' END, CASE WHEN doc_id % 3 = 0 THEN 'source' END], lambda x: x IS NOT NULL) AS fields FROM documents")
 def _(t):
-    old, new = F.struct("lang", "source"), F.struct(F.when(I % 2 == 0, "xx").otherwise(F.col("lang")).alias("lang"), F.when(I % 3 == 0, F.lit(None)).otherwise(F.col("source")).alias("source"))
+    old, new = F.struct("lang", "source"), F.struct(F.when(F.col("doc_id") % 2 == 0, "xx").otherwise(F.col("lang")).alias("lang"), F.when(F.col("doc_id") % 3 == 0, F.lit(None)).otherwise(F.col("source")).alias("source"))
     return t.documents.select("doc_id", old.alias("old"), new.alias("new")).select("doc_id", lc.changed_fields(["lang", "source"]).alias("fields"))
 
 

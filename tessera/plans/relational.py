@@ -10,7 +10,6 @@ from ..operators import evaluate as ev
 from ..operators import relational as rel
 from .registry import query
 
-N = F.length("text")
 
 
 @query("vector_scan", "SELECT e.vec_id AS chunk_id, d.doc_id AS document_id, d.source, e.label FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id WHERE d.lang = 'en'")
@@ -73,12 +72,12 @@ def _(t):
 
 @query("chunk_stats", "SELECT role, count(*) AS n, sum(length(text))::bigint AS total, min(length(text))::int AS shortest, max(length(text))::int AS longest, round(avg(length(text)), 6) AS mean, round(median(length(text)), 6) AS median, round(stddev_samp(length(text)), 6) AS deviation, count(*) FILTER (WHERE length(text) < 100) AS below_100, count(*) FILTER (WHERE length(text) >= 100 AND length(text) < 300) AS below_300, count(*) FILTER (WHERE length(text) >= 300 AND length(text) < 800) AS below_800, count(*) FILTER (WHERE length(text) >= 800 AND length(text) < 1500) AS below_1500, count(*) FILTER (WHERE length(text) >= 1500) AS from_1500 FROM conversations GROUP BY role")
 def _(t):
-    return rel.length_stats(t.conversations, ["role"], N)
+    return rel.length_stats(t.conversations, ["role"], F.length("text"))
 
 
 @query("chunk_length_by_document", "SELECT conv_id, min(length(text))::int AS shortest, max(length(text))::int AS longest, round(avg(length(text)), 6) AS mean FROM conversations GROUP BY conv_id")
 def _(t):
-    return t.conversations.groupBy("conv_id").agg(F.min(N).alias("shortest"), F.max(N).alias("longest"), F.round(F.avg(N), 6).alias("mean"))
+    return t.conversations.groupBy("conv_id").agg(F.min(F.length("text")).alias("shortest"), F.max(F.length("text")).alias("longest"), F.round(F.avg(F.length("text")), 6).alias("mean"))
 
 
 @query("source_summary", "SELECT coalesce(nullif(trim(lang), ''), 'unknown') AS label, count(*) AS n FROM documents GROUP BY 1")
@@ -234,7 +233,7 @@ def _(t):
 
 @query("worst_chunks", "SELECT conv_id, turn, length(text)::int AS n FROM conversations ORDER BY length(text), conv_id, turn LIMIT 5")
 def _(t):
-    return t.conversations.select("conv_id", "turn", N.alias("n")).orderBy("n", "conv_id", "turn").limit(5)
+    return t.conversations.select("conv_id", "turn", F.length("text").alias("n")).orderBy("n", "conv_id", "turn").limit(5)
 
 
 @query("auto_ingest", "SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS r FROM documents WHERE n_chars >= 1000) WHERE r <= 3")

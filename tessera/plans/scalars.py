@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..functions import pii, scalars, urls, vectors
 from .registry import query
 
-U, T, E = F.col("url"), F.col("text"), F.col("embedding")
 SCHEME = "lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1))"
 HOST = "lower(regexp_replace(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '^.*@', ''), ':[0-9]*$', ''))"
 PATH = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
@@ -27,25 +26,25 @@ def q(parts: str) -> str:
       {SCHEME} || '://' || {HOST} || {PATH} || {q(f"list_filter({PARAMS}, lambda p: NOT {TRACKS} AND contains(p, '=') AND split_part(p, '=', 2) <> '')")} AS cleaned FROM pages""",
 )
 def _(t):
-    return t.pages.select("page_id", urls.canonical_source(U).alias("canonical"), urls.normalized(U).alias("normalized"), urls.cleaned(U).alias("cleaned"))
+    return t.pages.select("page_id", urls.canonical_source(F.col("url")).alias("canonical"), urls.normalized(F.col("url")).alias("normalized"), urls.cleaned(F.col("url")).alias("cleaned"))
 
 
 @query("url_result_form")
 def _(t):
-    return t.pages.select("page_id", urls.result_form(U).alias("form"), urls.provider_record(F.lit(" Web "), U)["external_id"].alias("external_id"))
+    return t.pages.select("page_id", urls.result_form(F.col("url")).alias("form"), urls.provider_record(F.lit(" Web "), F.col("url"))["external_id"].alias("external_id"))
 
 
 @query("host_traits", f"""SELECT page_id, CASE WHEN h LIKE '%.gov' OR h LIKE '%.gov.%' THEN 'government' WHEN h LIKE '%.edu' OR h LIKE '%.ac.%' THEN 'academic' WHEN h LIKE '%.org' THEN 'nonprofit'
    WHEN h LIKE 'intranet%' OR h LIKE '%.internal' OR h LIKE '%.corp' THEN 'internal' ELSE 'commercial' END AS domain_type,
    CASE WHEN h LIKE '%.gov' OR h LIKE '%.gov.%' OR h LIKE '%.edu' OR h LIKE '%.ac.%' THEN 'high' ELSE 'medium' END AS trust, lower({PATH}) LIKE '%.pdf' AS is_pdf FROM (SELECT *, {HOST} AS h FROM pages)""")
 def _(t):
-    kind, trust = urls.host_traits(U)
-    return t.pages.select("page_id", kind.alias("domain_type"), trust.alias("trust"), urls.is_pdf(U, F.lit(None).cast("string")).alias("is_pdf"))
+    kind, trust = urls.host_traits(F.col("url"))
+    return t.pages.select("page_id", kind.alias("domain_type"), trust.alias("trust"), urls.is_pdf(F.col("url"), F.lit(None).cast("string")).alias("is_pdf"))
 
 
 @query("url_dupes", f"SELECT c AS url_key, count(*) AS n, min(page_id) AS first_page FROM (SELECT page_id, {HOST} || {PATH} AS c FROM pages) GROUP BY c HAVING count(*) > 1")
 def _(t):
-    keyed = t.pages.select("page_id", F.concat(urls.host(U), urls.path(U)).alias("url_key"))
+    keyed = t.pages.select("page_id", F.concat(urls.host(F.col("url")), urls.path(F.col("url"))).alias("url_key"))
     return keyed.groupBy("url_key").agg(F.count("*").alias("n"), F.min("page_id").alias("first_page")).where("n > 1")
 
 
@@ -54,33 +53,33 @@ PHONE = r"([^\p{L}\p{M}\p{N}\p{Pc}]|^)(\+?\d[\d\s().-]{5,}\d)"
 
 @query("pii_mask")
 def _(t):
-    return t.documents.select("doc_id", F.md5(pii.mask(T)).alias("masked_md5"), *[c.alias(f"n_{k.lower()}") for k, c in pii.counts(T).items()])
+    return t.documents.select("doc_id", F.md5(pii.mask(F.col("text"))).alias("masked_md5"), *[c.alias(f"n_{k.lower()}") for k, c in pii.counts(F.col("text")).items()])
 
 
 @query("pii_counts", r"SELECT doc_id, len(regexp_extract_all(text, '\b(?:\d{1,3}\.){3}\d{1,3}\b'))::int AS n_ipv4, len(regexp_extract_all(text, '\b[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}\b'))::int AS n_uuid, len(regexp_extract_all(text, '(?i)\b[A-Z]{2}[0-9]{2}[A-Z0-9]{10,30}\b'))::int AS n_iban FROM documents")
 def _(t):
-    c = pii.counts(T)
+    c = pii.counts(F.col("text"))
     return t.documents.select("doc_id", c["IPV4"].alias("n_ipv4"), c["UUID"].alias("n_uuid"), c["IBAN"].alias("n_iban"))
 
 
 @query("pii_jwt_mask", rf"SELECT doc_id, md5(regexp_replace(text, '{pii.JWT}', '[REDACTED_JWT_HEADER].[REDACTED_JWT_PAYLOAD].[REDACTED_JWT_SIGNATURE]', 'g')) AS masked_md5 FROM documents")
 def _(t):
-    return t.documents.select("doc_id", F.md5(pii.mask_jwt(T)).alias("masked_md5"))
+    return t.documents.select("doc_id", F.md5(pii.mask_jwt(F.col("text"))).alias("masked_md5"))
 
 
 @query("digit_fallback", r"SELECT doc_id, md5(CASE WHEN m = text THEN regexp_replace(text, '[0-9]', 'X', 'g') ELSE m END) AS out_md5 FROM (SELECT *, regexp_replace(text, '\b(?:\d{1,3}\.){3}\d{1,3}\b', '[REDACTED_IPV4]', 'g') AS m FROM documents)")
 def _(t):
-    return t.documents.select("doc_id", F.md5(pii.digits_if_unmasked(T, pii.mask(T, only=["IPV4"]))).alias("out_md5"))
+    return t.documents.select("doc_id", F.md5(pii.digits_if_unmasked(F.col("text"), pii.mask(F.col("text"), only=["IPV4"]))).alias("out_md5"))
 
 
 @query("pii_url_params")
 def _(t):
-    return t.pages.select("page_id", pii.mask_url_params(F.concat(U, F.lit("&token=abc&x=1"))).alias("masked"))
+    return t.pages.select("page_id", pii.mask_url_params(F.concat(F.col("url"), F.lit("&token=abc&x=1"))).alias("masked"))
 
 
 @query("pii_pseudonyms")
 def _(t):
-    return t.documents.select("doc_id", F.md5(pii.pseudonyms("k")(T)).alias("out_md5"), F.md5(pii.mask_cards(T)).alias("cards_md5"))
+    return t.documents.select("doc_id", F.md5(pii.pseudonyms("k")(F.col("text"))).alias("out_md5"), F.md5(pii.mask_cards(F.col("text"))).alias("cards_md5"))
 
 
 @query("json_mask")
@@ -90,26 +89,26 @@ def _(t):
 
 @query("vector_normalise", "SELECT vec_id, round(sqrt(list_dot_product(embedding::double[], embedding::double[])), 6) AS norm, round((embedding::double[])[1] / sqrt(list_dot_product(embedding::double[], embedding::double[])), 6) AS first FROM embeddings")
 def _(t):
-    return t.embeddings.select("vec_id", F.round(F.sqrt(vectors.squared(E)), 6).alias("norm"), F.round(vectors.unit(E)[0], 6).alias("first"))
+    return t.embeddings.select("vec_id", F.round(F.sqrt(vectors.squared(F.col("embedding"))), 6).alias("norm"), F.round(vectors.unit(F.col("embedding"))[0], 6).alias("first"))
 
 
 @query("vector_valid", "SELECT vec_id, len(embedding) = 64 AND list_dot_product(embedding::double[], embedding::double[]) > 1e-12 AS valid FROM embeddings")
 def _(t):
-    return t.embeddings.select("vec_id", vectors.is_valid(E, 64).alias("valid"))
+    return t.embeddings.select("vec_id", vectors.is_valid(F.col("embedding"), 64).alias("valid"))
 
 
 @query("vector_scores", """SELECT vec_id, round(1 - d*d/2, 6) AS as_cosine, round(1/(1+d), 6) AS inverse, round(greatest(0.0, 1-d), 6) AS linear, round(greatest(0.0, 1 - d/20), 6) AS by_cutoff
   FROM (SELECT e.vec_id, list_distance(e.embedding::double[], z.embedding::double[]) AS d FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) z)""")
 def _(t):
-    zero = t.embeddings.where("vec_id = 0").select(E.alias("z"))
-    d = t.embeddings.crossJoin(F.broadcast(zero)).select("vec_id", vectors.l2_distance(E, F.col("z")).alias("d"))
+    zero = t.embeddings.where("vec_id = 0").select(F.col("embedding").alias("z"))
+    d = t.embeddings.crossJoin(F.broadcast(zero)).select("vec_id", vectors.l2_distance(F.col("embedding"), F.col("z")).alias("d"))
     r = lambda c: F.round(c, 6)
     return d.select("vec_id", r(vectors.l2_to_cosine(F.col("d"))).alias("as_cosine"), r(vectors.inverse_score(F.col("d"))).alias("inverse"), r(vectors.linear_score(F.col("d"))).alias("linear"), r(vectors.cutoff_similarity(F.col("d"), 20.0)).alias("by_cutoff"))
 
 
 @query("vector_literal", "SELECT vec_id, '[' || array_to_string(list_transform(embedding::double[], lambda x: printf('%.6f', x)), ',') || ']' AS literal FROM embeddings")
 def _(t):
-    return t.embeddings.select("vec_id", vectors.literal(E).alias("literal"))
+    return t.embeddings.select("vec_id", vectors.literal(F.col("embedding")).alias("literal"))
 
 
 @query("label_centroids", "SELECT label, pos - 1 AS pos, round(avg(x), 6) AS x, max(n) AS n FROM (SELECT label, unnest(embedding::double[]) AS x, generate_subscripts(embedding, 1) AS pos, count(*) OVER (PARTITION BY label) / 1 AS n0, 0 AS z FROM embeddings) JOIN (SELECT label, count(*) AS n FROM embeddings GROUP BY label) USING (label) GROUP BY label, pos")
@@ -122,15 +121,15 @@ def _(t):
   SELECT label, count(*) AS n, count(*) FILTER (WHERE s < 0.3) AS outliers, round(avg(s), 6) AS mean FROM (SELECT label, list_cosine_similarity(embedding::double[], centroid) AS s FROM embeddings JOIN c USING (label)) GROUP BY label""")
 def _(t):
     c = vectors.centroids(t.embeddings, "label", "embedding").select("label", "centroid")
-    s = t.embeddings.join(c, "label").select("label", vectors.cosine(E, F.col("centroid")).alias("s"))
+    s = t.embeddings.join(c, "label").select("label", vectors.cosine(F.col("embedding"), F.col("centroid")).alias("s"))
     return s.groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.col("s") < 0.3).alias("outliers"), F.round(F.avg("s"), 6).alias("mean"))
 
 
 @query("cosine_topk", """SELECT query_id, id, distance, rank FROM (SELECT query_id, id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, id)::int AS rank FROM
   (SELECT q.vec_id AS query_id, c.vec_id AS id, round(1 - list_cosine_similarity(q.embedding::double[], c.embedding::double[]), 6) AS distance FROM embeddings q, embeddings c WHERE q.vec_id < 40)) WHERE rank <= 10""")
 def _(t):
-    queries = t.embeddings.where("vec_id < 40").select(F.col("vec_id").alias("query_id"), E.alias("q"))
-    return vectors.top_k(queries, t.embeddings.select(F.col("vec_id").alias("id"), E.alias("v")), 10)
+    queries = t.embeddings.where("vec_id < 40").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return vectors.top_k(queries, t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), 10)
 
 
 @query("embedding_cost", "SELECT event_id, round(event_id * CASE event_type WHEN 'click' THEN 0.02 WHEN 'view' THEN 0.13 ELSE 0 END / 1000.0, 6)::double AS cost FROM events")
@@ -188,6 +187,6 @@ def _(t):
     from ..functions.text import dedup_tokens
 
     c = t.conversations
-    d = c.select("conv_id", (F.col("turn") - 1).alias("turn"), dedup_tokens(T).alias("b"))
-    both = c.select("conv_id", "turn", dedup_tokens(T).alias("a")).join(d, ["conv_id", "turn"]).where("size(a) > 0 AND size(b) > 0")
+    d = c.select("conv_id", (F.col("turn") - 1).alias("turn"), dedup_tokens(F.col("text")).alias("b"))
+    both = c.select("conv_id", "turn", dedup_tokens(F.col("text")).alias("a")).join(d, ["conv_id", "turn"]).where("size(a) > 0 AND size(b) > 0")
     return both.select("conv_id", "turn", F.round(vectors.jaccard(F.col("a"), F.col("b")), 9).alias("jaccard"), F.round(vectors.set_cosine(F.col("a"), F.col("b")), 9).alias("cosine"))

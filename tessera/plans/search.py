@@ -20,7 +20,7 @@ VEC = """vec AS (SELECT query_id, id, distance, row_number() OVER (PARTITION BY
    FROM embeddings q, embeddings c JOIN documents d ON d.doc_id = c.vec_id WHERE q.vec_id < 20))"""
 FUSED = f"""WITH {LEX}, {VEC},
 fused AS (SELECT coalesce(v.query_id, l.query_id) AS query_id, coalesce(v.id, l.id) AS id, v.rank AS vrank, l.rank AS lrank,
-  round(least(1.0, coalesce(0.7 / (60 + v.rank) * 61, 0) + coalesce(0.3 / (60 + l.rank) * 61, 0)), 6)::double AS fused
+  round(least(1.0, coalesce(0.7 / (60 + v.rank) * 61, 0) + coalesce(0.3 / (60 + l.rank) * 61, 0)), 9)::double AS fused
   FROM (SELECT * FROM vec WHERE rank <= 50) v FULL JOIN (SELECT * FROM lex WHERE rank <= 50) l ON v.query_id = l.query_id AND v.id = l.id)"""
 
 

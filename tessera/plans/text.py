@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..functions import hashing, text
 from .registry import query
 
-T = F.col("text")
 WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}\p{Pc}]+')"
 SPACE = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
 
@@ -18,12 +17,12 @@ def facet_sql(column: str) -> str:
 
 @query("doc_content_hash", f"SELECT doc_id, sha256({SPACE}) AS content_hash FROM documents")
 def _(t):
-    return t.documents.select("doc_id", hashing.content_hash(T, F.lit(None).cast("string"), F.lit(None).cast("binary")).alias("content_hash"))
+    return t.documents.select("doc_id", hashing.content_hash(F.col("text"), F.lit(None).cast("string"), F.lit(None).cast("binary")).alias("content_hash"))
 
 
 @query("text_normalise_db", r"SELECT doc_id, md5(regexp_replace(lower(nfc_normalize(text)), '\s+', ' ', 'g')) AS norm_md5 FROM documents")
 def _(t):
-    return t.documents.select("doc_id", F.md5(text.normalise_db(T)).alias("norm_md5"))
+    return t.documents.select("doc_id", F.md5(text.normalise_db(F.col("text"))).alias("norm_md5"))
 
 
 @query(
@@ -34,22 +33,22 @@ def _(t):
            WHEN w LIKE '%n' OR w LIKE '%e' THEN left(w, length(w) - 1) ELSE w END), ' ')) AS norm_md5 FROM documents""",
 )
 def _(t):
-    return t.documents.select("doc_id", F.md5(text.normalise(T)).alias("norm_md5"))
+    return t.documents.select("doc_id", F.md5(text.normalise(F.col("text"))).alias("norm_md5"))
 
 
 @query("near_dup_signature", f"SELECT doc_id, len(list_distinct({WORDS})) AS n_tokens, sha1(array_to_string(list_sort(list_distinct({WORDS})), chr(31))) AS fingerprint FROM documents")
 def _(t):
-    return t.documents.select("doc_id", F.size(text.dedup_tokens(T)).cast("long").alias("n_tokens"), text.dedup_fingerprint(T).alias("fingerprint"))
+    return t.documents.select("doc_id", F.size(text.dedup_tokens(F.col("text"))).cast("long").alias("n_tokens"), text.dedup_fingerprint(F.col("text")).alias("fingerprint"))
 
 
 @query("latin_tokens", rf"SELECT doc_id, len(regexp_extract_all(lower(text), '[\p{{L}}\p{{M}}\p{{N}}\p{{Pc}}À-ɏ]+')) AS n FROM documents")
 def _(t):
-    return t.documents.select("doc_id", F.size(text.latin_tokens(T)).cast("long").alias("n"))
+    return t.documents.select("doc_id", F.size(text.latin_tokens(F.col("text"))).cast("long").alias("n"))
 
 
 @query("websearch_query", f"SELECT item_id, array_to_string(list_filter(string_split({SPACE}, ' '), lambda w: w <> ''), ' OR ') AS query FROM benchmark")
 def _(t):
-    return t.benchmark.select("item_id", text.websearch(T).alias("query"))
+    return t.benchmark.select("item_id", text.websearch(F.col("text")).alias("query"))
 
 
 @query(
@@ -59,17 +58,17 @@ def _(t):
         CASE WHEN len(list_filter(string_split({SPACE}, ' '), lambda w: w <> '')) = 1 THEN length(trim(text)) ELSE len(list_filter(string_split({SPACE}, ' '), lambda w: w <> '')) END::int AS counted FROM documents""",
 )
 def _(t):
-    return t.documents.select("doc_id", text.tokens_quarter(T).alias("quarter"), text.tokens_words(T).alias("words"), text.token_count(T).alias("counted"))
+    return t.documents.select("doc_id", text.tokens_quarter(F.col("text")).alias("quarter"), text.tokens_words(F.col("text")).alias("words"), text.token_count(F.col("text")).alias("counted"))
 
 
 @query("sentence_stats", r"SELECT doc_id, len(list_filter(list_transform(regexp_extract_all(text, '[^.!?]+(?:[.!?]+|$)'), lambda s: trim(s)), lambda s: s <> '')) AS n FROM documents WHERE text SIMILAR TO '(?s).*[^.!?\s].*'")
 def _(t):
-    return t.documents.where(T.rlike(r"[^.!?\s]")).select("doc_id", F.size(text.simple_sentences(T)).cast("long").alias("n"))
+    return t.documents.where(F.col("text").rlike(r"[^.!?\s]")).select("doc_id", F.size(text.simple_sentences(F.col("text"))).cast("long").alias("n"))
 
 
 @query("protected_sentences")
 def _(t):
-    return t.documents.select("doc_id", F.size(text.sentences(T)).alias("n"), F.md5(F.array_join(text.sentences(T), "\n")).alias("sentences_md5"))
+    return t.documents.select("doc_id", F.size(text.sentences(F.col("text"))).alias("n"), F.md5(F.array_join(text.sentences(F.col("text")), "\n")).alias("sentences_md5"))
 
 
 @query("list_item_index", r"SELECT doc_id, k - 1 AS line_no, regexp_extract(line, '^\s*(\d{1,9})[.)]\s+', 1)::int AS item FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents) WHERE regexp_matches(line, '^\s*\d{1,9}[.)]\s+')")
@@ -92,45 +91,45 @@ def _(t):
 
 @query("key_points")
 def _(t):
-    return t.documents.select("doc_id", F.size(text.key_points(T)).alias("n"), F.md5(F.array_join(text.key_points(T), "\n")).alias("points_md5"))
+    return t.documents.select("doc_id", F.size(text.key_points(F.col("text"))).alias("n"), F.md5(F.array_join(text.key_points(F.col("text")), "\n")).alias("points_md5"))
 
 
 @query("facet_inference", f"SELECT doc_id, {facet_sql('text')} FROM documents")
 def _(t):
-    return t.documents.select("doc_id", *[c.alias(n.lower()) for n, c in text.facets(T).items()])
+    return t.documents.select("doc_id", *[c.alias(n.lower()) for n, c in text.facets(F.col("text")).items()])
 
 
 @query("doc_type_intent", "SELECT doc_id, CASE " + " ".join(f"WHEN {' OR '.join(f'''contains(lower(text), '{w}')''' for w in ws)} THEN '{n}'" for n, ws in text.DOC_TYPE_KEYWORDS.items()) + " END AS doc_type, CASE WHEN " + " OR ".join(f"contains(lower(trim(text)), '{w}')" for w in text.EXTRACT_INTENT) + " THEN 'extract' ELSE 'default' END AS intent FROM documents")
 def _(t):
-    return t.documents.select("doc_id", text.doc_type(T).alias("doc_type"), text.intent(T).alias("intent"))
+    return t.documents.select("doc_id", text.doc_type(F.col("text")).alias("doc_type"), text.intent(F.col("text")).alias("intent"))
 
 
 @query("question_density", r"SELECT conv_id, turn, least(1.0, (length(text) - length(replace(text, '?', '')) + len(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}\p{Pc}]+'), lambda w: w IN (" + ", ".join(f"'{w}'" for w in text.QUESTION_WORDS) + "))))/3.0)::double AS density FROM conversations")
 def _(t):
-    return t.conversations.select("conv_id", "turn", text.question_density(T).alias("density"))
+    return t.conversations.select("conv_id", "turn", text.question_density(F.col("text")).alias("density"))
 
 
 @query("byte_truncation")
 def _(t):
-    cut = text.truncate_bytes(T, 101)
-    return t.documents.select("doc_id", F.octet_length(cut).alias("n_bytes"), T.startswith(cut).alias("is_prefix"))
+    cut = text.truncate_bytes(F.col("text"), 101)
+    return t.documents.select("doc_id", F.octet_length(cut).alias("n_bytes"), F.col("text").startswith(cut).alias("is_prefix"))
 
 
 @query("visible_nfkc")
 def _(t):
-    return t.documents.select("doc_id", F.md5(text.nfkc_visible(T)).alias("text_md5"))
+    return t.documents.select("doc_id", F.md5(text.nfkc_visible(F.col("text"))).alias("text_md5"))
 
 
 @query("storage_hash", f"SELECT doc_id, CASE WHEN h_first < doc_id THEN sha256(h || '|' || doc_id) ELSE h END AS storage_hash FROM (SELECT doc_id, h, min(doc_id) OVER (PARTITION BY h) AS h_first FROM (SELECT doc_id, sha256({SPACE}) AS h FROM documents))")
 def _(t):
-    h = t.documents.select("doc_id", hashing.content_hash(T, F.lit(None).cast("string"), F.lit(None).cast("binary")).alias("h"))
+    h = t.documents.select("doc_id", hashing.content_hash(F.col("text"), F.lit(None).cast("string"), F.lit(None).cast("binary")).alias("h"))
     first = h.groupBy("h").agg(F.min("doc_id").alias("first"))
     return h.join(first, "h").select("doc_id", hashing.storage_hash(F.col("h"), F.col("doc_id").cast("string"), F.col("first") < F.col("doc_id")).alias("storage_hash"))
 
 
 @query("chunk_ids", "SELECT conv_id, turn, 'sha256-' || left(sha256(conv_id || ':' || lower(trim(text))), 32) AS chunk_id FROM conversations")
 def _(t):
-    return t.conversations.select("conv_id", "turn", hashing.chunk_id(F.col("conv_id").cast("string"), T).alias("chunk_id"))
+    return t.conversations.select("conv_id", "turn", hashing.chunk_id(F.col("conv_id").cast("string"), F.col("text")).alias("chunk_id"))
 
 
 @query("external_ids", "SELECT page_id, CASE WHEN length('web::' || url || '::' || page_id) <= 40 THEN 'web::' || url || '::' || page_id ELSE 'web::' || sha1(url || '::' || page_id) END AS external_id FROM pages")
