@@ -272,3 +272,17 @@ def clean(docs: DataFrame, benchmark: DataFrame, width: int = 10, shard_words: i
             yield b.set_column(at, b.schema.field(at), pa.array(cleaned, b.schema.field(at).type))
 
     return docs.mapInArrow(run, docs.schema)
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+SQL = f"""
+WITH items AS (SELECT item_id::VARCHAR AS item, ws, least(10, len(ws)) AS l FROM (SELECT item_id, {_WORDS} AS ws FROM benchmark) WHERE len(ws) > 0),
+windows AS (SELECT DISTINCT item, l, unnest(list_transform(range(1, len(ws) - l + 2), lambda i: array_to_string(ws[i:i + l - 1], ' '))) AS k FROM items),
+docs AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+places AS (SELECT doc_id, l, unnest(list_transform(range(1, len(ws) - l + 2), lambda i: {{'i': i, 'k': array_to_string(ws[i:i + l - 1], ' ')}})) AS p FROM docs, (SELECT DISTINCT l FROM items)),
+hits AS (SELECT places.doc_id, places.l, places.p.i AS i, windows.item FROM places JOIN windows ON places.l = windows.l AND places.p.k = windows.k),
+words AS (SELECT doc_id, count(DISTINCT pos) AS n FROM (SELECT doc_id, unnest(range(i, i + l)) AS pos FROM hits) GROUP BY doc_id),
+named AS (SELECT doc_id, count(DISTINCT item) AS n, array_to_string(list_sort(list(DISTINCT item)), ',') AS s FROM hits GROUP BY doc_id)
+SELECT doc_id, len(ws) AS n_words, coalesce(words.n, 0) AS n_hit, coalesce(named.n, 0) AS n_items, sha256(coalesce(named.s, '')) AS items_sha256, coalesce(words.n, 0) > 0 AS contaminated
+FROM docs LEFT JOIN words USING (doc_id) LEFT JOIN named USING (doc_id)
+"""

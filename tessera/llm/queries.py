@@ -31,4 +31,4 @@ QUERIES = {
     "op10_token_counts": lambda spark, sf_dir: token_counts(table(spark, sf_dir, "documents")),
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_warc": warc.SQL}
+ORACLE_SQL: dict[str, str] = {"op7_warc": warc.SQL, "op9_decontaminate": decontaminate.SQL}

@@ -65,3 +65,17 @@ def test_frames(spark):
     assert cleaned.columns == d.columns and cleaned.count() == len(docs)
     assert dc.digest(dc.passages(d.limit(0), b)).count() == 0
     assert dc.passages(d, b.limit(0)).where("size(items) > 0").count() == 0
+
+
+def test_tables_against_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    sf = "/root/testdata/sf0.01"
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    got = dc.digest(dc.passages(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")))
+    q = con.execute(dc.SQL)
+    assert got.columns == [d[0] for d in q.description]
+    want = q.fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want) and any(r[5] for r in want)
