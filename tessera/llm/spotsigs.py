@@ -133,12 +133,12 @@ def edited_and_next(docs: DataFrame, chain: int = 3) -> DataFrame:
     code points of the next document, descending doc_id; after the last comes the first.
     Texts are shuffled once by doc_id; of the next document only the part that is needed and
     its signatures travel to the document before it. Rows of equal doc_ids are ordered by a
-    hash of their texts.
+    hash of their texts; a null doc_id comes last (-2^63 can't be told from it).
     """
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("k"), text.alias("text"))
+    rows = docs.select(key.alias("k"), text.alias("text"))  # both uses read the same columns, so that they share one exchange
     rows = rows.withColumn("occ", F.row_number().over(Window.partitionBy("k").orderBy(F.xxhash64("text"), F.length("text"))))
     ids = docs.select(key.alias("k"), F.xxhash64(text).alias("h"), F.length(text).alias("n"))
     ids = ids.withColumn("occ", F.row_number().over(Window.partitionBy("k").orderBy("h", "n"))).select("k", "occ", "n")
@@ -147,7 +147,7 @@ def edited_and_next(docs: DataFrame, chain: int = 3) -> DataFrame:
     given = given.select("to_k", "to_occ", F.expr("substring(text, 1, to_chars div 3)").alias("lent"), signatures(F.col("text"), chain).alias("next_sigs"))
     met = rows.join(given, (F.col("k") == F.col("to_k")) & (F.col("occ") - F.col("to_occ") == 0))
     n = F.length("text")
-    met = met.select("doc_id", n.cast("long").alias("n_chars"), "text", F.concat(F.expr("substring(text, 1, length(text) - length(text) div 3)"), "lent").alias("edited"), "next_sigs")
+    met = met.select(F.nullif("k", F.lit(-(2**63))).alias("doc_id"), n.cast("long").alias("n_chars"), "text", F.concat(F.expr("substring(text, 1, length(text) - length(text) div 3)"), "lent").alias("edited"), "next_sigs")
     met = met.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), signatures(F.col("text"), chain).alias("sigs"), signatures(F.col("edited"), chain).alias("edited_sigs"), "next_sigs")
     own, edited, following = F.col("sigs"), F.col("edited_sigs"), F.col("next_sigs")
     return met.select("doc_id", "n_chars", "edited_sha256", fingerprint(own).alias("fingerprint"), fingerprint(edited).alias("edited_fingerprint"), likeness(own, edited).alias("near_edited"), likeness(own, following).alias("near_next"))
