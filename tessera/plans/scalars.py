@@ -42,9 +42,9 @@ def _(t):
     return t.pages.select("page_id", kind.alias("domain_type"), trust.alias("trust"), urls.is_pdf(F.col("url"), F.lit(None).cast("string")).alias("is_pdf"))
 
 
-@query("url_dupes", f"SELECT c AS url_key, count(*) AS n, min(page_id) AS first_page FROM (SELECT page_id, {HOST} || {PATH} AS c FROM pages) GROUP BY c HAVING count(*) > 1")
+@query("url_dupes", f"SELECT c AS url_key, count(*) AS n, min(page_id) AS first_page FROM (SELECT page_id, {HOST} || left({PATH}, 4) AS c FROM pages) GROUP BY c HAVING count(*) > 1")
 def _(t):
-    keyed = t.pages.select("page_id", F.concat(urls.host(F.col("url")), urls.path(F.col("url"))).alias("url_key"))
+    keyed = t.pages.select("page_id", F.concat(urls.host(F.col("url")), F.substring(urls.path(F.col("url")), 1, 4)).alias("url_key"))
     return keyed.groupBy("url_key").agg(F.count("*").alias("n"), F.min("page_id").alias("first_page")).where("n > 1")
 
 

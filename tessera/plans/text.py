@@ -71,9 +71,9 @@ def _(t):
     return t.documents.select("doc_id", F.size(text.sentences(F.col("text"))).alias("n"), F.md5(F.array_join(text.sentences(F.col("text")), "\n")).alias("sentences_md5"))
 
 
-@query("list_item_index", r"SELECT doc_id, k - 1 AS line_no, regexp_extract(line, '^\s*(\d{1,9})[.)]\s+', 1)::int AS item FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents) WHERE regexp_matches(line, '^\s*\d{1,9}[.)]\s+')")
+@query("list_item_index", r"SELECT doc_id, k - 1 AS line_no, regexp_extract(line, '^\s*(\d{1,9})[.)]\s+', 1)::int AS item FROM (SELECT doc_id, unnest(list_transform(string_split(text, chr(10)), lambda l, i: i || '. ' || l)) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents) WHERE regexp_matches(line, '^\s*\d{1,9}[.)]\s+')")
 def _(t):
-    lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    lines = t.documents.select("doc_id", F.posexplode(F.transform(F.split("text", "\n"), lambda x, i: F.concat(i + 1, F.lit(". "), x))).alias("line_no", "line"))
     return lines.select("doc_id", F.col("line_no").cast("long").alias("line_no"), text.list_index(F.col("line")).alias("item")).where("item IS NOT NULL")
 
 
