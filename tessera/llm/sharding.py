@@ -7,8 +7,9 @@ histogram of group sizes comes to the driver: sizes keep `digits` significant bi
 whatever the number of rows. Groups of one size class are alike for the packing, which
 assigns runs of them; which group is which in its class is settled by distributed ranks.
 
-A given number of shards gets the least capacity with which the packing needs no more bins
-(found by bisection), so sizes are as near equal as indivisible groups allow; a given
+With a given number of shards, a group over the mean of what is left has a shard of its own;
+the rest gets the least capacity with which the packing needs no more than the other bins
+(found by bisection), so sizes are as near equal as indivisible groups allow. A given
 capacity gets as few bins as best fit finds. A group above the capacity has a bin of its own.
 
 Ranks and slots are counts over (shard or class, salt) pairs with a window in each: no task
@@ -117,6 +118,24 @@ def least_capacity(histogram: list[tuple[int, int]], bins: int) -> int:
     return high
 
 
+def pack_evenly(histogram: list[tuple[int, int]], bins: int) -> list[tuple[int, int, int, int]]:
+    """Runs as of pack(): groups over the mean of what is left have bins of their own, the rest shares the others evenly."""
+    total, own, alone, rest = sum(s * n for s, n in histogram), 0, {}, []
+    for size, count in sorted(histogram, reverse=True):
+        while alone.get(size, 0) < count and own < bins - 1 and size * (bins - own) > total:
+            alone[size] = alone.get(size, 0) + 1
+            own, total = own + 1, total - size
+        if count > alone.get(size, 0):
+            rest.append((size, count - alone.get(size, 0)))
+    runs, b = [], 0
+    for size, count in alone.items():
+        runs += [(size, k, k + 1, b + k) for k in range(count)]
+        b += count
+    if rest:
+        runs += [(s, first + alone.get(s, 0), end + alone.get(s, 0), b + own) for s, first, end, b in pack(rest, least_capacity(rest, bins - own), bins - own)]
+    return runs
+
+
 def size_class(size: Column, digits: int) -> Column:
     """The size with `digits` significant bits, rounded up."""
     shift = F.greatest(F.lit(0), F.floor(F.log2(size.cast("double"))).cast("int") + 1 - digits)
@@ -144,7 +163,7 @@ def assigned(docs: DataFrame, shards: int | None = 8, capacity: int | None = Non
     kind = T.StructType([T.StructField(n, T.LongType()) for n in ("class", "first", "end")] + [T.StructField("shard", T.IntegerType())])
     runs = []
     if histogram:
-        runs = pack(histogram, capacity, None) if capacity else pack(histogram, least_capacity(histogram, shards), shards)
+        runs = pack(histogram, capacity, None) if capacity else pack_evenly(histogram, shards)
     runs = F.broadcast(spark.createDataFrame(runs, kind))  # at most a run for each size class and bin change
     placed = ranked(groups, "class", ["group_key"], "rank", salts)
     placed = placed.join(runs, "class").where((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("end"))).select("group_key", "shard")

@@ -58,3 +58,18 @@ def test_documents(spark):
     assert sh.shards_by_bytes(df.limit(0)).count() == 0
     few = sh.assigned(df, None, capacity=5000).groupBy("shard").agg({"size": "sum"}).collect()
     assert all(s <= 5000 for _, s in few)
+
+
+def test_large_groups_leave_the_rest_even():
+    for sizes in ([700] + [1] * 1400, [315] + [1] * 1785, [900, 400, 300] + [2] * 500, [50] * 3, [600, 600] + [5] * 100):
+        histogram = [(s, sizes.count(s)) for s in set(sizes)]
+        load, ranks = defaultdict(int), defaultdict(list)
+        for s, first, end, b in sh.pack_evenly(histogram, 8):
+            load[b] += s * (end - first)
+            ranks[s] += range(first, end)
+        assert all(sorted(ranks[s]) == list(range(n)) for s, n in histogram)
+        large = [s for s in sizes if s >= 300]
+        if len(sizes) > 8:
+            rest = sorted(load.values())[: 8 - len(large)]
+            assert len(load) == 8 and sorted(load.values())[8 - len(large) :] == sorted(large)
+            assert max(rest) <= sum(rest) / len(rest) + 5
