@@ -168,6 +168,8 @@ def links(distinct: DataFrame, errors: int = 3, dense: int = 4096) -> DataFrame:
         def runs(key: np.ndarray, fp: np.ndarray, last: bool) -> Iterator[pa.RecordBatch]:
             """Whole buckets; what may go on in the next batch is held."""
             nonlocal held_key, held, dense_key
+            if not len(key):
+                return
             u, v = [], []
             edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
             first, size = edge[:-1], np.diff(edge)

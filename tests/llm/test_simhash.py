@@ -110,3 +110,17 @@ def test_documents(spark):
     kept = sh.one_of_each(df)
     assert kept.columns == df.columns and sorted(x.doc_id for x in kept.collect()) == sorted(set(least.values()))
     assert sh.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_dense_bucket_last_of_its_partition(spark):
+    base = 0x5A5A5A5A5A5A5A5A
+    fps = [base] + [base ^ 1 << b for b in range(22)]
+    signed = np.array(fps, np.uint64).view(np.int64).tolist()
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for width in (1, 40):
+        spark.conf.set("spark.sql.shuffle.partitions", str(width))
+        try:
+            got = {r.node: r.component for r in components(sh.links(spark.createDataFrame([(x,) for x in signed], "fp long"), dense=2)).collect()}
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+        assert got == dict.fromkeys(signed, min(signed))
