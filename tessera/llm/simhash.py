@@ -62,15 +62,16 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = 3, keyed: bool = False) -> DataFrame:
+    """doc_id and fp, the fingerprint as a signed long; if `keyed`, text_key too, a hash of the text."""
 
     def rows(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
-            fps = np.array([fingerprint(t, shingle) for t in b["text"]], np.uint64)
-            yield {"doc_id": b["doc_id"], "fp": fps.view(np.int64).tolist()}
+            fps = np.array([fingerprint(t, shingle) for t in b.pop("text")], np.uint64)
+            yield b | {"fp": fps.view(np.int64).tolist()}
 
-    return arrow_rows(docs.select(F.col("doc_id").cast("long"), "text"), rows, "doc_id long, fp long")
+    key = [F.md5("text").alias("text_key")] if keyed else []
+    return arrow_rows(docs.select(F.col("doc_id").cast("long"), "text", *key), rows, "doc_id long, text_key string, fp long" if keyed else "doc_id long, fp long")
 
 
 @lru_cache(maxsize=1)
@@ -225,18 +226,29 @@ def _ball_links(members: DataFrame, errors: int) -> DataFrame:
     return close.where("fp != v").select(F.col("fp").alias("u"), "v").distinct()
 
 
+def rooted(fps: DataFrame, errors: int, dense: int) -> DataFrame:
+    """fp, root (of its component) and least doc_id of each distinct fingerprint."""
+    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    found = components(links(distinct, errors, dense)).withColumnsRenamed({"node": "fp", "component": "root"})
+    return cut(distinct.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, errors: int = 3, dense: int = 4096) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable) of every document."""
     fps = cut(fingerprints(docs, shingle))
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    found = components(links(distinct, errors, dense)).withColumnsRenamed({"node": "fp", "component": "root"})
-    rooted = cut(distinct.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    groups = rooted.join(least, "root").select("fp", "component_id")
+    roots = rooted(fps, errors, dense)
+    least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
+    groups = roots.join(least, "root").select("fp", "component_id")
     return fps.join(groups, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, shingle: int = 3, errors: int = 3) -> DataFrame:
-    """The documents, one of each component: that of the smallest doc_id. Columns stay."""
-    kept = near_duplicates(docs, shingle, errors).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi").dropDuplicates(["doc_id"])
+def one_of_each(docs: DataFrame, shingle: int = 3, errors: int = 3, dense: int = 4096) -> DataFrame:
+    """The documents, one of each component: that of the smallest doc_id, nulls last, and the least hash of the text. Columns stay."""
+    fps = cut(fingerprints(docs, shingle, keyed=True))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key"))
+    by_fp = fps.groupBy("fp").agg(first.alias("first"))  # so that a fingerprint that many share is one row of the join
+    kept = by_fp.join(rooted(fps, errors, dense), "fp").groupBy("root").agg(F.min("first").alias("first"))
+    kept = kept.select(F.col("first.doc_id").alias("kept_id"), F.col("first.text_key").alias("kept_key")).distinct()
+    keyed = docs.withColumn("_text_key", F.md5("text"))
+    same = keyed["doc_id"].cast("long").eqNullSafe(kept["kept_id"]) & keyed["_text_key"].eqNullSafe(kept["kept_key"])
+    return keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_text_key"]).drop("_text_key")
