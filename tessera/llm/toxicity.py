@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .shared import arrow_rows
 
 TOKEN = re.compile(r"\w+")
-WINDOW, STRIDE, HIDDEN, WIDTH = 32, 24, 8, 8
+WINDOW, STRIDE, HIDDEN, WIDTH = 32, 16, 8, 8
 
 
 def tokens(text: str | None) -> list[str]:

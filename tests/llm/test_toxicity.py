@@ -81,3 +81,9 @@ def test_held_out_rows(spark):
     assert {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if not r.predicted}
     assert {r.score for r in tx.toxicity(docs, labels.limit(0)).collect()} == {0.5}
     assert tx.toxicity(docs.limit(0), labels).count() == 0
+
+
+def test_passages_of_half_a_window_lie_whole_in_one():
+    for n in (17, 32, 33, 56, 57, 100, 500):
+        for at in range(n - tx.WINDOW // 2):
+            assert any(s <= at and at + tx.WINDOW // 2 < s + tx.WINDOW for s in tx.windows(n))
