@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +38,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -77,12 +80,17 @@ def document_order(column: str = "doc_id") -> list:
     return [F.col(column).asc_nulls_first()]
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of finished jobs: it waits for the driver's JVM to collect."""
-    spark.sparkContext._jvm.System.gc()
-
-
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a table's folder in the shared store."""
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession, label: str) -> Iterator[str]:
+    """A path in the shared folder that is removed at the end, whatever happens."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    try:
+        yield path
+    finally:
+        remove(spark, path)
