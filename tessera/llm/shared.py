@@ -80,6 +80,11 @@ def document_order(column: str = "doc_id") -> list:
     return [F.col(column).asc_nulls_first()]
 
 
+def release(spark: SparkSession) -> None:
+    """Free the shuffle files of finished jobs: Spark drops them only when the driver's JVM collects garbage."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a table's folder in the shared store."""
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
