@@ -260,16 +260,20 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, width: int = 10, shard_words: int = 1 << 20, block_words: int = 2_000_000) -> DataFrame:
-    """The documents with removal spans cut from their texts; all rows and columns stay."""
+    """The documents with removal spans cut from their texts; all rows and columns stay, n_chars (if there) is counted anew."""
     blocks = blocks_of(benchmark, width, block_words)
-    at = docs.columns.index("text")
+    at, counted = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = [b.value for b in blocks]
         for b in batches:
             texts = b.column(at).to_pylist()
             cleaned = [without(t, s) if s else t for t, (_, s, _) in zip(texts, scan(texts, windows, shard_words))]
-            yield b.set_column(at, b.schema.field(at), pa.array(cleaned, b.schema.field(at).type))
+            new = b.set_column(at, b.schema.field(at), pa.array(cleaned, b.schema.field(at).type))
+            if counted is not None:
+                lengths = [len(c) if c is not t else n for c, t, n in zip(cleaned, texts, b.column(counted).to_pylist())]
+                new = new.set_column(counted, b.schema.field(counted), pa.array(lengths, b.schema.field(counted).type))
+            yield new
 
     return docs.mapInArrow(run, docs.schema)
 

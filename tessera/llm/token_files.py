@@ -24,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -56,19 +57,20 @@ class WordTable(dict):
 
         super().__init__()
         self.tokenizer, self.generation, self.longest, self.old = Tokenizer.from_file(tokenizer_file(model)), generation, longest, {}
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.width, self.code = (2, "H") if self.tokenizer.get_vocab_size() <= 1 << 16 else (4, "I")  # of little-endian machines
         self.model = self.tokenizer.model
         self[""] = b""
 
     def ids(self, word: str) -> bytes:
         """A word's ids; its parts are looked up where the library would split or lower it alike.
 
-        Closing marks after a letter or digit are tokens of their own. A word of Latin letters
+        Closing marks after what the library's normalizer leaves as a letter or digit are tokens
+        of their own (after a combining mark, as of a letter that NFC takes apart, they aren't). A word of Latin letters
         (composed, and lower-cased letter by letter) is one pre-token, which goes to the
         library's merges without its normalizer. All else is encoded by the whole library.
         """
         core = word.rstrip(".,;:!?")
-        if core and core != word and core[-1].isalnum():
+        if core and core != word and (core if core.isascii() else self.tokenizer.normalizer.normalize_str(core))[-1:].isalnum():
             return self[core] + self[word[len(core) :]]
         if word.isalpha() and max(word) < "\u0250" and "\u0130" not in word:
             low = word.lower()
@@ -77,7 +79,7 @@ class WordTable(dict):
             found = [t.id for t in self.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_LEVEL))]
         else:
             found = self.tokenizer.encode(word, add_special_tokens=False).ids
-        return np.array(found, f"<u{self.width}").tobytes()
+        return array(self.code, found).tobytes()
 
     def __missing__(self, word: str) -> bytes:
         found = self.old.get(word)
@@ -161,12 +163,12 @@ def write_tokens(docs: DataFrame, model: str = WORD_MODEL, end_id: int = 1, samp
     its doc_id range, of which there are as many as shuffle partitions.
     """
     spark, docs = docs.sparkSession, docs.select(F.col("doc_id").cast("long"), "text")
-    every = max(1, docs.count() // sample_docs)
+    ranges = shuffle_width(spark)
+    places = F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 10_000) if ranges > 1 else F.lit(None)
+    n, cuts = docs.agg(F.count("*"), places).first()  # reads doc_ids only
+    every, cuts = max(1, n // sample_docs), sorted(set(cuts or []))
     sample = docs.where((F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0) & (F.length("text") <= sample_chars)).select("text")
     dictionary = train([word_table(model).serialized(r.text, end_id) for r in sample.collect()], dictionary_bytes)
-    ranges = shuffle_width(spark)
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 10_000).alias("c")).first().c if ranges > 1 else []
-    cuts = sorted(set(cuts or []))
     width, digest = word_table(model).width, hashlib.sha256(dictionary).digest()
 
     def frames(batches: Iterator[dict]) -> Iterator[dict]:

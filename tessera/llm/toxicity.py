@@ -5,8 +5,9 @@ the word's edges. Two gated recurrent layers read a window in both directions, a
 pools their states, a logistic unit gives the window's probability; a text's score is the
 largest over all its overlapping windows. Everything is numpy, training included.
 
-Training takes a bounded sample of labelled rows (`sample_rows` of each class, texts of at
-most `sample_chars` characters) of the rows that `learn` allows. A text's label belongs to
+Training takes a bounded sample of labelled rows (at most `sample_rows` toxic texts and twice as
+many others, of at most `sample_chars` characters each) of the rows that `learn` allows; it
+runs in one task, and only the network travels. A text's label belongs to
 some window of it, so each epoch scores all windows of the sample and learns from the
 highest of a toxic text and from the highest and a random one of another. Word and n-gram
 vectors start from shrunken log odds in one component. Labels, lang, source and doc_id are
@@ -14,19 +15,21 @@ no inputs. Scoring covers every whole text.
 
 Defined results: null and empty texts, and texts without words, are one empty window and get
 its score; if the sample lacks a class, every score is the share of toxic rows (0.5 without
-any rows); rows of unusable labels are ignored; repeated rows repeat; other columns aren't
+any rows); unusable labels, and labels of one doc_id that disagree, are ignored; repeated rows repeat; other columns aren't
 read (clean() keeps them).
 """
 
 from __future__ import annotations
 
+import pickle
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 from itertools import islice
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -150,21 +153,33 @@ def window_ids(ids: np.ndarray) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(ids, WINDOW)[windows(len(ids))]
 
 
+class WordRows(dict):
+    """word -> row, the next free one for a new word."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = row = len(self)
+        return row
+
+
 def train(texts: list[str], labels: list[int], seed: int = 7, epochs: int = 8, batch: int = 128, rate: float = 0.01, most: int = 30_000, least: int = 4) -> Network:
     """The network for a sample of texts (labels 0 or 1)."""
     if len({*labels}) < 2:
         return Network({}, {}, constant=float(np.mean(labels)) if labels else 0.5)
     rng, y = np.random.default_rng(seed), np.array(labels, np.float32)
-    docs = [tokens(t) for t in texts]
+    vocabulary, gram_rows = WordRows(), WordRows()
+    docs = [np.array([vocabulary[w] for w in tokens(t)], np.int32) for t in texts]  # numbers, not words: a sample is small in memory
+    grams_of = np.array([[gram_rows[g] for g in grams(w)] for w in vocabulary], np.int64).reshape(-1, 4)
     counts = {}
-    for kind in ("word", "gram"):
-        by = (Counter(), Counter())
+    for kind, names in (("word", list(vocabulary)), ("gram", list(gram_rows))):
+        by = np.zeros((2, len(names)), np.int64)
         for doc, label in zip(docs, labels):
-            by[label].update({*doc} if kind == "word" else {g for w in {*doc} for g in grams(w)})
-        total = by[0] + by[1]
-        names = sorted((x for x, k in total.items() if k >= least), key=lambda x: (-total[x], x))[:most]
-        odds = [0.0] + [(np.log((by[1][x] + 0.5) / (y.sum() + 1)) - np.log((by[0][x] + 0.5) / (len(y) - y.sum() + 1))) * total[x] / (total[x] + 8) for x in names]
-        counts[kind] = ({x: i + 1 for i, x in enumerate(names)}, np.clip(np.array(odds, np.float32), -2, 6) / 3)
+            seen = np.unique(doc)
+            by[label, seen if kind == "word" else np.unique(grams_of[seen])] += 1
+        total = by.sum(axis=0)
+        kept = sorted(np.flatnonzero(total >= least).tolist(), key=lambda i: (-total[i], names[i]))[:most]
+        part = [np.log((by[1, kept] + 0.5) / (y.sum() + 1)), np.log((by[0, kept] + 0.5) / (len(y) - y.sum() + 1))]
+        odds = np.concatenate(([0.0], (part[0] - part[1]) * total[kept] / (total[kept] + 8)))
+        counts[kind] = ({names[i]: k + 1 for k, i in enumerate(kept)}, np.clip(odds.astype(np.float32), -2, 6) / 3)
     net = Network(counts["word"][0], counts["gram"][0])
     normal = lambda *shape: (rng.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
     net.p = {"in": normal(2 * WIDTH, 6 * HIDDEN), "in_b": np.zeros(6 * HIDDEN, np.float32), "u0": normal(HIDDEN, 3 * HIDDEN), "u1": normal(HIDDEN, 3 * HIDDEN), "att": normal(2 * HIDDEN, HIDDEN), "att_b": np.zeros(HIDDEN, np.float32), "att_v": normal(HIDDEN), "out": normal(2 * HIDDEN), "out_b": np.array([-1], np.float32)}
@@ -172,9 +187,8 @@ def train(texts: list[str], labels: list[int], seed: int = 7, epochs: int = 8, b
         net.p[kind] = (rng.standard_normal((len(counts[kind][0]) + 1, WIDTH)) * 0.02).astype(np.float32)
         net.p[kind][:, 0] = counts[kind][1]
         net.p[kind][0] = 0
-    vocabulary = {w: i for i, w in enumerate({w: 0 for doc in docs for w in doc})}
     rows = net.rows_of(list(vocabulary))
-    parts = [window_ids(np.array([vocabulary[w] for w in doc], np.int32)) for doc in docs]
+    parts = [window_ids(doc) for doc in docs]
     first = np.concatenate(([0], np.cumsum([len(x) for x in parts])))
     ids = np.concatenate(parts)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
@@ -256,14 +270,6 @@ def logits(net: Network, ids: np.ndarray, projected: np.ndarray, block: int = 10
     return out
 
 
-class WordRows(dict):
-    """word -> row, the next free one for a new word."""
-
-    def __missing__(self, word: str) -> int:
-        self[word] = row = len(self)
-        return row
-
-
 class Scorer:
     """Scores of texts; inputs of distinct words are kept in a bounded table."""
 
@@ -306,15 +312,32 @@ def learned_rows(doc_id: Column | str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string")) % 3 != 1
 
 
+def sample(docs: DataFrame, labels: DataFrame, sample_rows: int, sample_chars: int, learn) -> DataFrame:
+    """toxic and text of at most sample_rows toxic and twice as many other texts, the first by a hash.
+
+    Labels of a doc_id that disagree are unusable.
+    """
+    usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & learn("doc_id"))
+    usable = usable.groupBy("doc_id").agg(F.min("toxic").cast("int").alias("toxic"), F.max("toxic").alias("other")).where("toxic = other").drop("other")
+
+    def first(df: DataFrame, *by: str) -> DataFrame:
+        return reduce(DataFrame.unionAll, [df.where(F.col("toxic") == k).orderBy(F.xxhash64(*by), *by).limit(n) for k, n in ((1, sample_rows), (0, 2 * sample_rows))])
+
+    chosen = F.broadcast(first(usable, "doc_id"))  # 3 * sample_rows rows at most
+    texts = docs.where(F.length("text") <= sample_chars).select(F.col("doc_id"), "text").join(chosen, "doc_id")
+    return first(texts.select("toxic", "text").distinct(), "text")
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 1500, sample_chars: int = 20_000, learn=learned_rows) -> Network:
-    """Train on about sample_rows labelled rows of each class, chosen by a hash of their ids."""
-    usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & learn("doc_id")).select("doc_id", "toxic")
-    n = {r.toxic: r["n"] for r in usable.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    every = F.when(F.col("toxic") == 1, max(1, n.get(1, 0) // sample_rows)).otherwise(max(1, n.get(0, 0) // (2 * sample_rows)))
-    chosen = dict(usable.where(F.pmod(F.xxhash64("doc_id"), every) == 0).collect())
-    rows = docs.where(F.col("doc_id").isin(list(chosen)) & (F.length("text") <= sample_chars)).select("doc_id", "text").collect() if chosen else []
-    rows = sorted({(r.doc_id, r.text) for r in rows})
-    return train([t for _, t in rows], [int(chosen[d]) for d, _ in rows])
+    """Train on a sample of labelled rows, in one task; only the network comes to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(r for b in batches for r in zip(b.column(1).to_pylist(), b.column(0).to_pylist()))
+        net = train([t for t, _ in rows], [k for _, k in rows])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], names=["net"])
+
+    made = sample(docs, labels, sample_rows, sample_chars, learn).repartition(1).mapInArrow(run, "net binary").first()
+    return pickle.loads(made.net) if made else train([], [])
 
 
 def scored(docs: DataFrame, net: Network) -> DataFrame:
@@ -337,8 +360,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Data
 
 def clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """The documents whose score is below the threshold; columns stay."""
-    import pyarrow as pa
-
     sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
     at = docs.columns.index("text")
 

@@ -16,7 +16,7 @@ def ids(text):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(alphabet=st.sampled_from("aB '\n.,Éßſǅİ²ªs\x1ćé日<|>1t"), max_size=30))
+@given(st.text(alphabet=st.sampled_from("aB '\n.,Éßſǅİ²ªs\x1ćé日<|>1t!?\u0958\u095c\u09dc\u0a33\u0b5c\u0f43\ufb1d\ufb2a\u0344\u2126\u212b\u0307\u093c가"), max_size=30))
 def test_words_give_the_ids_of_the_text(text):
     assert np.frombuffer(tf.word_table(WORD_MODEL).serialized(text, 1), "<u2").tolist() == ids(text)
 
@@ -46,3 +46,8 @@ def test_words_of_documents():
 
     for text in pq.read_table("/root/testdata/sf0.001/documents.parquet")["text"].to_pylist():
         assert np.frombuffer(tf.word_table(WORD_MODEL).serialized(text, 1), "<u2").tolist() == ids(text)
+
+
+def test_letters_that_the_normalizer_takes_apart():
+    for word in ("İ.", "\u0958.", "ab\u0958!", "\ufb1d.", "a\u0307?", "\u0344;", "é.", "9,"):
+        assert np.frombuffer(tf.word_table(WORD_MODEL).serialized(word, 1), "<u2").tolist() == ids(word), word
