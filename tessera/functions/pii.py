@@ -27,8 +27,11 @@ SENSITIVE_PARAMS = [
     "email", "phone", "token", "code", "apikey", "api_key", "api-key", "access_key", "access-key", "access_token", "access-token", "id_token",
     "client_secret", "secret", "password", "pass", "pwd", "session", "session_id", "sessionid", "sid", "auth", "authorization",
 ]
+# A token's segments; values that look random (URL-safe, base 64, hexadecimal).
 JWT = r"[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"
 
+RANDOM_VALUES = ["[A-Za-z0-9_-]{20,}", "[A-Za-z0-9+/]{20,}={0,2}", "[A-Fa-f0-9]{32,}"]
+
 
 def mask_jwt(text: Column) -> Column:
     """Each of a token's three segments by a placeholder."""
@@ -36,14 +39,15 @@ def mask_jwt(text: Column) -> Column:
 
 
 def mask_url_params(text: Column) -> Column:
-    """Values of sensitive query parameters of URLs; `key` only if its value looks random."""
+    """Values of sensitive query parameters inside URLs; `key` only if its value looks random."""
     names = "|".join(sorted(SENSITIVE_PARAMS, key=lambda n: (-len(n), n)))
-    once = F.regexp_replace(text, rf"(?i)(?<=[?&])({names})=(?!\[REDACTED)[^&#\s)]+", "$1=[REDACTED]")
-    return F.regexp_replace(once, r"(?i)(?<=[?&])(key)=[A-Za-z0-9_+/-]{20,}={0,2}(?=[&#\s)]|$)", "$1=[REDACTED]")
+    within = r"((?:\G(?!\A)|https?://)[^\s)]*?[?&]{}=)"  # from a URL's start, or on in the URL of the last match
+    once = F.regexp_replace(text, "(?i)" + within.format(f"(?:{names})") + r"(?!\[REDACTED)[^&#\s)]+", "$1[REDACTED]")
+    return F.regexp_replace(once, within.format("(?i:key)") + f"(?:{'|'.join(RANDOM_VALUES)})" + r"(?=[&#\s)]|$)", "$1[REDACTED]")
 
 
-def mask(text: Column, numbers: bool = True, only: list[str] | None = None) -> Column:
-    """Tokens, URL parameters, then the patterns in order, by [REDACTED_TAG]."""
+def mask(text: Column, numbers: bool = False, only: list[str] | None = None) -> Column:
+    """Tokens, URL parameters, then the patterns in order, by [REDACTED_TAG]; numbers only if asked for."""
     out = mask_url_params(mask_jwt(text)) if only is None else text
     for tag, pattern in PATTERNS:
         if (only is None or tag in only) and (numbers or tag != "NUMBER"):

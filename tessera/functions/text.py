@@ -62,10 +62,10 @@ def normalise_db(text: Column) -> Column:
 
 
 def plural_stem(token: Column) -> Column:
-    """A German plural ending goes from tokens of over four letters: en, n or e, with four left."""
+    """A German plural ending goes from words of over four letters: en, n or e, with four left. Other tokens stay."""
     n = F.length(token)
     return (
-        F.when(n <= 4, token)
+        F.when((n <= 4) | ~token.rlike(r"^[\p{L}\p{N}_]+$"), token)
         .when(token.endswith("en") & (n >= 6), F.substring(token, F.lit(1), n - 2))
         .when(token.endswith("n") & ~token.endswith("en") | token.endswith("en") & (n == 5), F.substring(token, F.lit(1), n - 1))
         .when(token.endswith("e"), F.substring(token, F.lit(1), n - 1))
@@ -74,7 +74,8 @@ def plural_stem(token: Column) -> Column:
 
 
 def normalise(text: Column) -> Column:
-    return F.array_join(F.transform(F.split(collapse(F.lower(text)), " "), plural_stem), " ")
+    """NFC, lower case, white-space runs as one space, trimmed, each word without a plural ending."""
+    return F.array_join(F.transform(F.split(collapse(F.lower(nfc(text))), " "), plural_stem), " ")
 
 
 def dedup_tokens(text: Column) -> Column:
@@ -91,8 +92,8 @@ def latin_tokens(text: Column) -> Column:
 
 
 def websearch(text: Column) -> Column:
-    """A query of alternatives: its tokens joined by OR."""
-    return F.array_join(F.filter(F.split(collapse(text), " "), lambda w: w != ""), " OR ")
+    """A query of alternatives: its words, without what stands between them, joined by OR."""
+    return F.array_join(F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), " OR ")
 
 
 def tokens_quarter(text: Column) -> Column:
@@ -146,11 +147,13 @@ def reference_ids(text: Column) -> Column:
 
 
 def key_points(text: Column, least: int = 3, most: int = 5) -> Column:
-    """Sentences of over ten characters, then lines, at least three and at most five."""
+    """Sentences of over ten characters, five at most; if under three, other lines up to three, then the last (or the text's start) again."""
     long = F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), F.trim), lambda s: F.length(s) > 10)
     lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda s: s != "")
-    found = F.when(F.size(long) >= least, long).otherwise(F.array_distinct(F.concat(long, lines)))
-    return F.slice(found, 1, most)
+    more = F.slice(F.array_except(lines, long), 1, F.greatest(F.lit(0), least - F.size(long)))
+    found = F.slice(F.concat(long, more), 1, most)
+    last = F.coalesce(F.get(found, F.size(found) - 1), F.substring(text, 1, 50))
+    return F.concat(found, F.array_repeat(last, F.greatest(F.lit(0), least - F.size(found))))
 
 
 def any_of(text: Column, words: list[str]) -> Column:

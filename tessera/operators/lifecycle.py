@@ -15,15 +15,15 @@ def delta(new: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def upsert_decisions(new: DataFrame, stored: DataFrame, near: DataFrame) -> DataFrame:
-    """key, action of new rows (key, hash) against stored ones and near duplicates (key, other).
+    """key, action of new rows (key, hash) against stored ones and near duplicates (key, other, replaces).
 
     inserted, skipped (same hash), replaced (other hash), linked (hash under another key),
-    near_duplicate_skipped.
+    near_duplicate_skipped, or near_duplicate_replaced where the near duplicate of least key is to be replaced.
     """
     own = stored.select("key", F.col("hash").alias("old"))
     held = stored.groupBy("hash").agg(F.min("key").alias("holder"))
-    j = new.join(own, "key", "left").join(held, "hash", "left").join(near.groupBy("key").agg(F.min("other").alias("other")), "key", "left")
-    action = F.when(F.col("old") == F.col("hash"), "skipped").when(F.col("old").isNotNull(), "replaced").when(F.col("holder").isNotNull(), "linked").when(F.col("other").isNotNull(), "near_duplicate_skipped").otherwise("inserted")
+    j = new.join(own, "key", "left").join(held, "hash", "left").join(near.groupBy("key").agg(F.min(F.struct("other", "replaces")).alias("near")), "key", "left")
+    action = F.when(F.col("old") == F.col("hash"), "skipped").when(F.col("old").isNotNull(), "replaced").when(F.col("holder").isNotNull(), "linked").when(F.col("near.replaces"), "near_duplicate_replaced").when(F.col("near").isNotNull(), "near_duplicate_skipped").otherwise("inserted")
     return j.select("key", action.alias("action"))
 
 

@@ -32,10 +32,10 @@ def _(t):
     return co.mentions(comments, t.customer.select(F.concat(F.lit("CUST"), "c_custkey").alias("name"), F.col("c_custkey").alias("user_id")))
 
 
-@query("reference_expansion", "WITH m AS (SELECT conv_id AS query_id, conv_id * 1000 + turn AS id, turn AS rank, (conv_id + turn) % 100 AS document FROM conversations WHERE conv_id < 20), f AS (SELECT query_id, document FROM (SELECT query_id, document, row_number() OVER (PARTITION BY query_id ORDER BY min(rank), document) AS n FROM m GROUP BY query_id, document) WHERE n <= 5), c AS (SELECT conv_id * 1000 + turn AS id, conv_id AS document, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) SELECT query_id, id FROM m UNION SELECT f.query_id, c.id FROM f JOIN c USING (document) WHERE n <= 3")
+@query("reference_expansion", "WITH m AS (SELECT conv_id AS query_id, conv_id * 1000 + turn AS id, turn AS rank, (conv_id + turn) % 100 AS document FROM conversations WHERE conv_id % 20 = 0), f AS (SELECT query_id, document FROM (SELECT query_id, document, row_number() OVER (PARTITION BY query_id ORDER BY min(rank), document) AS n FROM m GROUP BY query_id, document) WHERE n <= 5), c AS (SELECT conv_id * 1000 + turn AS id, conv_id AS document, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) SELECT query_id, id FROM m UNION SELECT f.query_id, c.id FROM f JOIN c USING (document) WHERE n <= 3")
 def _(t):
     i = (F.col("conv_id") * 1000 + F.col("turn")).alias("id")
-    m = t.conversations.where("conv_id < 20").select(F.col("conv_id").alias("query_id"), i, F.col("turn").alias("rank"), F.array((F.col("conv_id") + F.col("turn")) % 100).alias("refs"))
+    m = t.conversations.where("conv_id % 20 = 0").select(F.col("conv_id").alias("query_id"), i, F.col("turn").alias("rank"), F.array((F.col("conv_id") + F.col("turn")) % 100).alias("refs"))
     return co.reference_expansion(m, t.conversations.select(i, F.col("conv_id").alias("document"), F.col("turn").alias("ord")))
 
 
@@ -91,9 +91,12 @@ def _(t):
     return t.events.groupBy("user_id").agg(F.count("*").alias("searches"), F.round(F.sum("value"), 4).alias("took"), F.max("event_id").alias("last_id"))
 
 
-@query("embedding_text_hash", r"SELECT item_id, sha256(lower(trim(regexp_replace(text, '\s+', ' ', 'g')))) AS text_hash FROM benchmark")
+@query("embedding_text_hash", r"""SELECT item_id, sha256(array_to_string(list_transform(string_split(trim(regexp_replace(lower(nfc_normalize(text)), '\s+', ' ', 'g')), ' '), lambda w:
+      CASE WHEN length(w) <= 4 OR NOT regexp_full_match(w, '[\p{L}\p{N}_]+') THEN w
+           WHEN w LIKE '%en' AND length(w) >= 6 THEN left(w, length(w) - 2)
+           WHEN w LIKE '%n' OR w LIKE '%e' THEN left(w, length(w) - 1) ELSE w END), ' ')) AS text_hash FROM benchmark""")
 def _(t):
-    return t.benchmark.select("item_id", F.sha2(F.lower(tx.collapse(F.col("text"))), 256).alias("text_hash"))
+    return t.benchmark.select("item_id", F.sha2(tx.normalise(F.col("text")), 256).alias("text_hash"))
 
 
 @query("vector_parse", "SELECT vec_id, round(embedding[3]::double, 6) AS third, len(embedding) AS n FROM embeddings")

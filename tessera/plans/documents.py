@@ -119,6 +119,11 @@ def _(t):
     return dd.jaccard_pairs(t.documents.select(F.col("doc_id").alias("id"), "text"), 0.8)
 
 
+@query("near_dup_members", r"SELECT doc_id AS id, min(doc_id) OVER (PARTITION BY s) AS representative FROM (SELECT doc_id, list_sort(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}\p{Pc}]+'))) AS s FROM documents) WHERE len(s) > 0")
+def _(t):
+    return dd.jaccard_members(t.documents.select(F.col("doc_id").alias("id"), "text"))
+
+
 @query("embedding_near_dup", "SELECT id, other, similarity FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, other) AS r FROM (SELECT a.vec_id AS id, b.vec_id AS other, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) AS similarity FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id)) WHERE r = 1 AND similarity >= 0.3")
 def _(t):
     return dd.embedding_near(t.embeddings.select(F.col("vec_id").alias("id"), F.col("label").alias("scope"), F.col("embedding").alias("v")), 0.3)

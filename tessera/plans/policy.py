@@ -42,11 +42,11 @@ def _(t):
     return t.documents.where(po.contains_all(F.col("text"), F.lit("The and IS "))).select("doc_id")
 
 
-@query("accessible_docs", "WITH u AS (SELECT c_custkey AS u, c_custkey % 100 = 0 AS adm FROM customer WHERE c_acctbal > 0) SELECT u AS user_id, o_orderkey AS document_id FROM u, orders WHERE adm AND o_orderkey < 2000 UNION SELECT o_custkey, o_orderkey FROM orders JOIN u ON u = o_custkey WHERE o_orderkey < 2000 UNION SELECT l_suppkey, l_orderkey FROM lineitem JOIN u ON u = l_suppkey WHERE l_orderkey < 2000 AND l_shipdate > TIMESTAMP '1997-01-01'")
+@query("accessible_docs", "WITH u AS (SELECT c_custkey AS u, c_custkey % 100 = 0 AS adm FROM customer WHERE c_acctbal > 0) SELECT u AS user_id, o_orderkey AS document_id FROM u, orders WHERE adm UNION SELECT o_custkey, o_orderkey FROM orders JOIN u ON u = o_custkey  UNION SELECT l_suppkey, l_orderkey FROM lineitem JOIN u ON u = l_suppkey WHERE l_shipdate > TIMESTAMP '1997-01-01'")
 def _(t):
     users = t.customer.select(F.col("c_custkey").alias("user_id"), (F.col("c_acctbal") > 0).alias("active"), F.when(F.col("c_custkey") % 100 == 0, "admin").alias("role"))
-    docs = t.orders.where("o_orderkey < 2000").select(F.col("o_orderkey").alias("document_id"), F.col("o_custkey").alias("owner"))
-    perms = t.lineitem.where("l_orderkey < 2000").select(F.col("l_suppkey").alias("user_id"), F.col("l_orderkey").alias("document_id"), F.col("l_shipdate").alias("expires_at"))
+    docs = t.orders.select(F.col("o_orderkey").alias("document_id"), F.col("o_custkey").alias("owner"))
+    perms = t.lineitem.select(F.col("l_suppkey").alias("user_id"), F.col("l_orderkey").alias("document_id"), F.col("l_shipdate").alias("expires_at"))
     return po.accessible_documents(users, docs, perms, F.lit("1997-01-01").cast("timestamp"))
 
 
@@ -142,11 +142,11 @@ def _(t):
     return t.documents.select("doc_id", po.contract_errors(F.col("text"), F.array(F.col("lang")), F.col("lang"), F.lit("text/plain")).alias("errors"))
 
 
-@query("upsert_decision", "WITH s AS (SELECT doc_id AS key, CASE WHEN doc_id % 3 = 0 THEN md5(text || '!') ELSE md5(text) END AS h FROM documents WHERE doc_id % 2 = 0), held AS (SELECT h, min(key) AS holder FROM s GROUP BY h) SELECT d.doc_id AS key, CASE WHEN s.h = md5(d.text) THEN 'skipped' WHEN s.h IS NOT NULL THEN 'replaced' WHEN holder IS NOT NULL THEN 'linked' WHEN d.doc_id % 11 = 0 THEN 'near_duplicate_skipped' ELSE 'inserted' END AS action FROM documents d LEFT JOIN s ON s.key = d.doc_id LEFT JOIN held ON held.h = md5(d.text)")
+@query("upsert_decision", "WITH s AS (SELECT doc_id AS key, CASE WHEN doc_id % 3 = 0 THEN md5(text || '!') ELSE md5(text) END AS h FROM documents WHERE doc_id % 2 = 0), held AS (SELECT h, min(key) AS holder FROM s GROUP BY h) SELECT d.doc_id AS key, CASE WHEN s.h = md5(d.text) THEN 'skipped' WHEN s.h IS NOT NULL THEN 'replaced' WHEN holder IS NOT NULL THEN 'linked' WHEN d.doc_id % 11 = 0 THEN CASE WHEN d.doc_id % 22 = 0 THEN 'near_duplicate_replaced' ELSE 'near_duplicate_skipped' END ELSE 'inserted' END AS action FROM documents d LEFT JOIN s ON s.key = d.doc_id LEFT JOIN held ON held.h = md5(d.text)")
 def _(t):
     new = t.documents.select(F.col("doc_id").alias("key"), F.md5("text").alias("hash"))
     stored = t.documents.where(F.col("doc_id") % 2 == 0).select(F.col("doc_id").alias("key"), F.when(F.col("doc_id") % 3 == 0, F.md5(F.concat("text", F.lit("!")))).otherwise(F.md5("text")).alias("hash"))
-    near = t.documents.where(F.col("doc_id") % 11 == 0).select(F.col("doc_id").alias("key"), F.lit(0).alias("other"))
+    near = t.documents.where(F.col("doc_id") % 11 == 0).select(F.col("doc_id").alias("key"), F.lit(0).alias("other"), (F.col("doc_id") % 22 == 0).alias("replaces"))
     return lc.upsert_decisions(new, stored, near)
 
 
@@ -157,9 +157,9 @@ def _(t):
     return lc.delta(new, old.union(old.select("key", F.lit("older"), F.lit(1))))
 
 
-@query("version_replace", "SELECT l_orderkey AS document, l_linenumber AS version, count(*) AS n, bool_and(l_orderkey % 2 <> 0) AS latest FROM lineitem WHERE l_orderkey < 500 AND NOT (l_orderkey % 2 = 0 AND l_linenumber = 1) GROUP BY ALL UNION ALL SELECT DISTINCT l_orderkey, 1, 1, true FROM lineitem WHERE l_orderkey < 500 AND l_orderkey % 2 = 0")
+@query("version_replace", "SELECT l_orderkey AS document, l_linenumber AS version, count(*) AS n, bool_and(l_orderkey % 2 <> 0) AS latest FROM lineitem WHERE NOT (l_orderkey % 2 = 0 AND l_linenumber = 1) GROUP BY ALL UNION ALL SELECT DISTINCT l_orderkey, 1, 1, true FROM lineitem WHERE l_orderkey % 2 = 0")
 def _(t):
-    c = t.lineitem.where("l_orderkey < 500").select(F.col("l_orderkey").alias("document"), F.col("l_linenumber").alias("version"), F.lit(0).alias("ord"), F.lit(True).alias("is_latest"))
+    c = t.lineitem.select(F.col("l_orderkey").alias("document"), F.col("l_linenumber").alias("version"), F.lit(0).alias("ord"), F.lit(True).alias("is_latest"))
     new = c.where("document % 2 = 0").select("document", F.lit(1).alias("version"), F.lit(0).alias("ord")).distinct()
     return lc.replace_version(c, new).groupBy("document", "version").agg(F.count("*").alias("n"), F.bool_and("is_latest").alias("latest"))
 

@@ -11,13 +11,13 @@ from ..operators import search as se
 from .registry import query
 
 W = r"regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}\p{Pc}]+')"
-LEX = f"""asked AS (SELECT item_id AS query_id, unnest(list_distinct({W})) AS w FROM benchmark WHERE item_id < 20),
+LEX = f"""asked AS (SELECT item_id AS query_id, unnest(list_distinct({W})) AS w FROM benchmark WHERE item_id % 20 = 0),
 held AS (SELECT doc_id AS id, w, count(*) AS n FROM (SELECT doc_id, unnest({W}) AS w FROM documents) GROUP BY ALL),
 lex AS (SELECT query_id, id, lscore, row_number() OVER (PARTITION BY query_id ORDER BY lscore DESC, id)::int AS rank FROM
   (SELECT query_id, id, round(sum(n) * 0.1, 6)::double AS lscore FROM held JOIN asked USING (w) GROUP BY query_id, id))"""
 VEC = """vec AS (SELECT query_id, id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, id)::int AS rank FROM
   (SELECT q.vec_id AS query_id, c.vec_id AS id, round(1 - list_cosine_similarity(q.embedding::double[], c.embedding::double[]), 6) AS distance
-   FROM embeddings q, embeddings c JOIN documents d ON d.doc_id = c.vec_id WHERE q.vec_id < 20))"""
+   FROM embeddings q, embeddings c JOIN documents d ON d.doc_id = c.vec_id WHERE q.vec_id IN (SELECT item_id FROM benchmark WHERE item_id % 20 = 0)))"""
 FUSED = f"""WITH {LEX}, {VEC},
 fused AS (SELECT coalesce(v.query_id, l.query_id) AS query_id, coalesce(v.id, l.id) AS id, v.rank AS vrank, l.rank AS lrank,
   round(least(1.0, coalesce(0.7 / (60 + v.rank) * 61, 0) + coalesce(0.3 / (60 + l.rank) * 61, 0)), 9)::double AS fused
@@ -27,7 +27,7 @@ fused AS (SELECT coalesce(v.query_id, l.query_id) AS query_id, coalesce(v.id, l.
 def inputs(t):
     """benchmark items with the vectors of their ids as queries; documents with theirs as corpus."""
     v = t.embeddings.select(F.col("vec_id"), F.col("embedding").alias("v"))
-    queries = t.benchmark.where("item_id < 20").join(v, F.col("item_id") == F.col("vec_id")).select(F.col("item_id").alias("query_id"), F.col("text").alias("q"), "v")
+    queries = t.benchmark.where("item_id % 20 = 0").join(v, F.col("item_id") == F.col("vec_id")).select(F.col("item_id").alias("query_id"), F.col("text").alias("q"), "v")
     corpus = t.documents.select("doc_id", "text").join(v, F.col("doc_id") == F.col("vec_id"), "left").select(F.col("doc_id").alias("id"), "text", "v")
     return queries, corpus
 
@@ -78,12 +78,12 @@ def _(t):
 
 TG = r"list_distinct(flatten(list_transform(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
 SIM = f"""WITH a AS (SELECT item_id AS id, t, len(t) AS n FROM (SELECT item_id, {TG} AS t FROM benchmark)),
-b AS (SELECT query_id, t, len(t) AS m FROM (SELECT conv_id * 1000 + turn AS query_id, {TG} AS t FROM conversations WHERE conv_id < 30)),
+b AS (SELECT query_id, t, len(t) AS m FROM (SELECT conv_id * 1000 + turn AS query_id, {TG} AS t FROM conversations WHERE conv_id % 20 = 0)),
 sim AS (SELECT query_id, id, round(c / (n + m - c), 6) AS similarity FROM (SELECT b.query_id, a.id, a.n, b.m, count(*) AS c FROM (SELECT id, n, unnest(t) AS g FROM a) a JOIN (SELECT query_id, m, unnest(t) AS g FROM b) b USING (g) GROUP BY ALL))"""
 
 
 def similar(t):
-    asked = t.conversations.where("conv_id < 30").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("q"))
+    asked = t.conversations.where("conv_id % 20 = 0").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("q"))
     return se.trigram_similarity(asked, t.benchmark.select(F.col("item_id").alias("id"), "text"))
 
 
@@ -124,13 +124,13 @@ def _(t):
     return se.extended(d.where("doc_id % 2 = 0"), d.where("doc_id % 3 = 0").union(d.where("doc_id % 6 = 0")), "doc_id")
 
 
-@query("semantic_cache", """WITH c AS (SELECT vec_id AS entry, label, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) AS r FROM embeddings WHERE vec_id >= 50)
+@query("semantic_cache", """WITH c AS (SELECT vec_id AS entry, label, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) AS r FROM embeddings WHERE vec_id % 20 <> 0)
  SELECT query_id, entry, similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, entry) AS k FROM (SELECT q.vec_id AS query_id, c.entry, round(list_cosine_similarity(q.embedding::double[], c.embedding::double[]), 6) AS similarity
- FROM embeddings q JOIN c USING (label) WHERE q.vec_id < 50 AND c.r <= 200 AND 500 - c.entry <= 300) WHERE similarity >= 0.2) WHERE k = 1""")
+ FROM embeddings q JOIN c USING (label) WHERE q.vec_id % 20 = 0 AND c.r <= 200 AND 500 - c.entry <= 300) WHERE similarity >= 0.2) WHERE k = 1""")
 def _(t):
     e = t.embeddings
-    cache = e.where("vec_id >= 50").select(F.col("vec_id").alias("entry"), F.col("label").alias("scope"), F.col("embedding").alias("v"), F.timestamp_seconds("vec_id").alias("created"))
-    return se.semantic_cache(e.where("vec_id < 50").select(F.col("vec_id").alias("query_id"), F.col("label").alias("scope"), F.col("embedding").alias("q")), cache, F.timestamp_seconds(F.lit(500)), 0.2, 300)
+    cache = e.where("vec_id % 20 <> 0").select(F.col("vec_id").alias("entry"), F.col("label").alias("scope"), F.col("embedding").alias("v"), F.timestamp_seconds("vec_id").alias("created"))
+    return se.semantic_cache(e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("scope"), F.col("embedding").alias("q")), cache, F.timestamp_seconds(F.lit(500)), 0.2, 300)
 
 
 def matches(t):
@@ -208,10 +208,10 @@ def _(t):
 
 @query("web_heuristics", r"""SELECT page_id, round(greatest(0.0, least(100.0, CASE WHEN contains(title, 'the') THEN 30.0 ELSE 0.0 END + least(words / 20.0, 25.0) + least((length(snip) - length(replace(snip, 'the', ''))) / 3 * 10.0, 20.0)
   - CASE WHEN regexp_matches(url, 'login|signup|register|cookie-policy|privacy-policy') THEN 20.0 ELSE 0.0 END + CASE WHEN page_id % 6 < 3 THEN 5.0 ELSE 0.0 END)), 6)::double AS score
-  FROM (SELECT page_id, lower(url) AS url, lower(regexp_extract(html, '<title>([^<]*)', 1)) AS title, lower(substr(html, 500, 300)) AS snip, len(list_filter(regexp_split_to_array(trim(lower(substr(html, 500, 300))), '\s+'), lambda w: w <> '')) AS words FROM pages)""")
+  FROM (SELECT page_id, lower(url) AS url, lower(regexp_extract(html, '<title>([^<]*)', 1)) AS title, lower(html) AS snip, len(list_filter(regexp_split_to_array(trim(lower(html)), '\s+'), lambda w: w <> '')) AS words FROM pages)""")
 def _(t):
     title = F.regexp_extract("html", "<title>([^<]*)", 1)
-    s = rk.web_heuristics(title, F.substring("html", 500, 300), F.col("url"), F.col("page_id") % 6, F.lit("the"))
+    s = rk.web_heuristics(title, F.col("html"), F.col("url"), F.col("page_id") % 6, F.lit("the"))
     return t.pages.select("page_id", F.round(s, 6).alias("score"))
 
 

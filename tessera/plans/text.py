@@ -27,8 +27,8 @@ def _(t):
 
 @query(
     "text_norm_plural",
-    rf"""SELECT doc_id, md5(array_to_string(list_transform(string_split(lower({SPACE}), ' '), lambda w:
-      CASE WHEN length(w) <= 4 THEN w
+    rf"""SELECT doc_id, md5(array_to_string(list_transform(string_split(trim(regexp_replace(lower(nfc_normalize(text)), '\s+', ' ', 'g')), ' '), lambda w:
+      CASE WHEN length(w) <= 4 OR NOT regexp_full_match(w, '[\p{{L}}\p{{N}}_]+') THEN w
            WHEN w LIKE '%en' AND length(w) >= 6 THEN left(w, length(w) - 2)
            WHEN w LIKE '%n' OR w LIKE '%e' THEN left(w, length(w) - 1) ELSE w END), ' ')) AS norm_md5 FROM documents""",
 )
@@ -46,7 +46,7 @@ def _(t):
     return t.documents.select("doc_id", F.size(text.latin_tokens(F.col("text"))).cast("long").alias("n"))
 
 
-@query("websearch_query", f"SELECT item_id, array_to_string(list_filter(string_split({SPACE}, ' '), lambda w: w <> ''), ' OR ') AS query FROM benchmark")
+@query("websearch_query", r"SELECT item_id, array_to_string(regexp_extract_all(text, '[\p{L}\p{N}_]+'), ' OR ') AS query FROM benchmark")
 def _(t):
     return t.benchmark.select("item_id", text.websearch(F.col("text")).alias("query"))
 

@@ -98,3 +98,28 @@ def test_streams(spark, tmp_path):
     stream = jobs.read_events(spark, str(tmp_path / "e"), df.schema)
     got = {r.user_id: (r.state, r.failures) for r in jobs.run_available(jobs.breaker(stream), "breaker_test", "update").collect()}
     assert got == {1: ("open", 3), 2: ("closed", 0)}
+
+
+def test_values_by_hand(spark):
+    """Results worked out from the definitions, not from the engine's own SQL."""
+    from tessera.functions import pii
+
+    def one(value, f):
+        return spark.createDataFrame([(value,)], "t string").select(f(F.col("t")).alias("x")).first().x
+
+    assert one("Hello, world! (a-b)", tx.websearch) == "Hello OR world OR a OR b"
+    assert one("...", tx.websearch) == "" and one("single", tx.websearch) == "single"
+    assert one("Kosten  (kosten a/karten Autos Tische e\u0301t\u00e9s", tx.normalise) == "kost (kosten a/karten autos tisch \u00e9t\u00e9s"
+    assert one("One sentence here. Two sentences there.\nshort", tx.key_points) == ["One sentence here.", "Two sentences there.", "One sentence here. Two sentences there."]
+    assert one("tiny", tx.key_points) == ["tiny"] * 3 and one("", tx.key_points) == [""] * 3
+    assert len(one(" ".join(f"Sentence number {i}." for i in range(9)), tx.key_points)) == 5
+    assert one("see x?token=abc", pii.mask_url_params) == "see x?token=abc"
+    assert one("https://h/p?a=1&token=abc&sid=2#f token=q", pii.mask_url_params) == "https://h/p?a=1&token=[REDACTED]&sid=[REDACTED]#f token=q"
+    assert one("https://h/?key=short and https://h/?key=ABCDEFGHIJKLMNOPQRST1", pii.mask_url_params) == "https://h/?key=short and https://h/?key=[REDACTED]"
+    assert one("order 12345 by a@b.org", pii.mask) == "order 12345 by [REDACTED_EMAIL]"
+    assert one("order 12345", lambda c: pii.mask(c, numbers=True)) == "order [REDACTED_NUMBER]"
+
+
+def test_members_of_equal_word_sets(spark):
+    docs = spark.createDataFrame([(1, "a b c"), (2, "c b a"), (3, "c b a a"), (4, "other"), (5, "..."), (6, None)], "id long, text string")
+    assert {tuple(r) for r in dd.jaccard_members(docs).collect()} == {(1, 1), (2, 1), (3, 1), (4, 4)}
