@@ -39,14 +39,18 @@ def ranked(df: DataFrame, by: str, *order, name: str = "rank", most: int | None
     return df.where(F.col(name) <= most) if most else df
 
 
-def lexical(queries: DataFrame, corpus: DataFrame, limit: int, query_text: str = "q", text: str = "text") -> DataFrame:
+def lexical(queries: DataFrame, corpus: DataFrame, limit: int, query_text: str = "q", text: str = "text", broadcast_rows: int = 1_000_000) -> DataFrame:
     """query_id, id, lscore, rank: tenth of the occurrences of any query word in a text (an OR query).
 
-    An inverted index by equi-join on words; occurrences are counted before the shuffle.
+    An inverted index by equi-join on words. Only words that some query has are kept, where the
+    texts are read if these words are counted to be few enough to be broadcast; occurrences are
+    counted before the shuffle.
     """
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(tx.WORD), F.lit(0))
     asked = queries.select("query_id", F.explode(F.array_distinct(words(F.col(query_text)))).alias("w"))
-    held = corpus.select("id", F.explode(words(F.col(text))).alias("w")).groupBy("id", "w").agg(F.count("*").alias("n"))
+    known = asked.select("w").distinct()
+    known = F.broadcast(known) if known.count() <= broadcast_rows else known
+    held = corpus.select("id", F.explode(words(F.col(text))).alias("w")).join(known, "w", "left_semi").groupBy("id", "w").agg(F.count("*").alias("n"))
     scored = held.join(asked, "w").groupBy("query_id", "id").agg(F.sum("n").alias("n"))
     scored = scored.select("query_id", "id", F.round(F.col("n") * 0.1, 6).alias("lscore"))
     return ranked(scored, "query_id", F.desc("lscore"), "id", most=limit)
