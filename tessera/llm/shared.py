@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -81,7 +82,8 @@ def document_order(column: str = "doc_id") -> list:
 
 
 def release(spark: SparkSession) -> None:
-    """Free the shuffle files of finished jobs: Spark drops them only when the driver's JVM collects garbage."""
+    """Free the shuffle files of finished jobs: Spark drops them when neither Python nor the driver's JVM hold their frames."""
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
