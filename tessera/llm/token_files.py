@@ -22,6 +22,7 @@ other columns aren't read.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from array import array
@@ -37,6 +38,8 @@ from pyspark.sql import functions as F
 from .shared import WORD_MODEL, arrow_rows, shuffle_width, tokenizer_file, written
 
 MAGIC, VERSION = b"TIDS", 1
+#: What isn't a Latin letter (lower-cased letter by letter) or a lesser character; a closing mark between a letter or digit and a word's end.
+NOT_LATIN, CLOSING = re.compile("[\u0130\u0250-\U0010ffff]"), re.compile(r"[.,;:!?](?![^ \n])(?<=[0-9a-zà-öø-ÿ].)")
 HEAD, ROW = struct.Struct("<4sBB32sI"), struct.Struct("<BqQI")
 
 
@@ -58,7 +61,7 @@ class WordTable(dict):
         super().__init__()
         self.tokenizer, self.generation, self.longest, self.old = Tokenizer.from_file(tokenizer_file(model)), generation, longest, {}
         self.width, self.code = (2, "H") if self.tokenizer.get_vocab_size() <= 1 << 16 else (4, "I")  # of little-endian machines
-        self.model = self.tokenizer.model
+        self.model, self.special = self.tokenizer.model, [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self[""] = b""
 
     def ids(self, word: str) -> bytes:
@@ -94,8 +97,18 @@ class WordTable(dict):
         return found
 
     def serialized(self, text: str | None, end_id: int) -> bytes:
-        words = (text or "").replace("\n", " ").split(" ")
-        return b"".join([self[w] for w in words]) + end_id.to_bytes(self.width, "little")
+        words = self.plainer(text or "").replace("\n", " ").split(" ")
+        return b"".join([*map(self.__getitem__, words), end_id.to_bytes(self.width, "little")])
+
+    def plainer(self, text: str) -> str:
+        """A text of Latin letters in lower case, with closing marks as words of their own: the same ids from fewer words.
+
+        Any other text, and one that holds a special string (or would in lower case), as it is.
+        """
+        if not text.isascii() and NOT_LATIN.search(text):
+            return text
+        low = text.lower()
+        return text if any(s in low for s in self.special) else CLOSING.sub(r" \g<0>", low)
 
 
 @lru_cache(maxsize=4)

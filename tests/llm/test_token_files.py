@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from tessera.llm import token_files as tf
 from tessera.llm.shared import WORD_MODEL
 
-ODD = ["", None, " ", "Hello  World\n\nx", "It's I'LL we'd", "a\x1cb\x85c d　e", "<|startoftext|> x <|endoftext|>y", "é é ́x", "ΑΣ Σ", "日本語 😀", "word " * 4000, "a" * 3000, "Hello  World\n\nx"]
+ODD = ["", None, " ", "Hello  World\n\nx", "It's I'LL we'd", "a\x1cb\x85c d　e", "<|startoftext|> x <|endoftext|>y", "Ende. <|STARTOFTEXT|> X. <|EndOfText|>.", "Größe! Ça va? Ok.\tNo.", "é é ́x", "ΑΣ Σ", "日本語 😀", "word " * 4000, "a" * 3000, "Hello  World\n\nx"]
 
 
 def ids(text):
