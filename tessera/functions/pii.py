@@ -33,17 +33,34 @@ JWT = r"[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"
 RANDOM_VALUES = ["[A-Za-z0-9_-]{20,}", "[A-Za-z0-9+/]{20,}={0,2}", "[A-Fa-f0-9]{32,}"]
 
 
+# What each policy masks.
+POLICIES = {
+    "strict": [
+        "EMAIL", "PHONE", "IBAN", "IPV4", "IPV6", "UUID", "JWT", "NUMBER", "TYPE", "CLIENT_EMAIL", "PRIVATE_KEY_ID", "PRIVATE_KEY", "CLIENT_ID",
+        "ACCESS_TOKEN", "ACCESS-TOKEN", "REFRESH_TOKEN", "TOKEN", "CODE", "KEY", "APIKEY", "API_KEY", "API-KEY", "ACCESS_KEY", "ACCESS-KEY", "PASSWORD",
+        "PASS", "PWD", "SECRET", "SESSION", "SESSION_ID", "SESSIONID", "SID", "ID_TOKEN", "CLIENT_SECRET", "AUTH", "AUTHORIZATION",
+    ],
+    "balanced": [
+        "EMAIL", "PHONE", "UUID", "JWT", "TYPE", "CLIENT_EMAIL", "PRIVATE_KEY", "ACCESS_TOKEN", "ACCESS-TOKEN", "REFRESH_TOKEN", "TOKEN", "CODE", "PASSWORD",
+        "SECRET", "APIKEY", "API_KEY", "API-KEY", "ACCESS_KEY", "ACCESS-KEY", "ID_TOKEN", "CLIENT_SECRET", "SESSION", "SESSION_ID", "SESSIONID", "SID", "PWD",
+        "AUTH", "AUTHORIZATION",
+    ],
+    "lenient": ["EMAIL", "PHONE"],
+}
+
+
 def mask_jwt(text: Column) -> Column:
     """Each of a token's three segments by a placeholder."""
     return F.regexp_replace(text, JWT, "[REDACTED_JWT_HEADER].[REDACTED_JWT_PAYLOAD].[REDACTED_JWT_SIGNATURE]")
 
 
-def mask_url_params(text: Column) -> Column:
-    """Values of sensitive query parameters inside URLs; `key` only if its value looks random."""
-    names = "|".join(sorted(SENSITIVE_PARAMS, key=lambda n: (-len(n), n)))
+def mask_url_params(text: Column, only: list[str] | None = None) -> Column:
+    """Values of sensitive query parameters (or only of those named) inside URLs; `key` only if its value looks random."""
+    named = [n for n in SENSITIVE_PARAMS if only is None or n.upper() in only]
+    names = "|".join(sorted(named, key=lambda n: (-len(n), n)))
     within = r"((?:\G(?!\A)|https?://)[^\s)]*?[?&]{}=)"  # from a URL's start, or on in the URL of the last match
-    once = F.regexp_replace(text, "(?i)" + within.format(f"(?:{names})") + r"(?!\[REDACTED)[^&#\s)]+", "$1[REDACTED]")
-    return F.regexp_replace(once, within.format("(?i:key)") + f"(?:{'|'.join(RANDOM_VALUES)})" + r"(?=[&#\s)]|$)", "$1[REDACTED]")
+    once = text if not named else F.regexp_replace(text, "(?i)" + within.format(f"(?:{names})") + r"(?!\[REDACTED)[^&#\s)]+", "$1[REDACTED]")
+    return once if only is not None and "KEY" not in only else F.regexp_replace(once, within.format("(?i:key)") + f"(?:{'|'.join(RANDOM_VALUES)})" + r"(?=[&#\s)]|$)", "$1[REDACTED]")
 
 
 def mask(text: Column, numbers: bool = False, only: list[str] | None = None) -> Column:
@@ -55,6 +72,12 @@ def mask(text: Column, numbers: bool = False, only: list[str] | None = None) ->
     return out
 
 
+def mask_by_policy(text: Column, policy: str) -> Column:
+    """What a policy names, numbers included if it names them; an unknown policy is the balanced one."""
+    rules = POLICIES.get(policy, POLICIES["balanced"])
+    return mask(mask_url_params(mask_jwt(text) if "JWT" in rules else text, rules), numbers=True, only=rules)
+
+
 def may_have(text: Column, tag: str) -> Column:
     """A cheap test that holds for any text with the pattern of this tag: most texts skip the costly search."""
     mark = {"EMAIL": "@", "IPV6": ":", "UUID": "-"}.get(tag)

@@ -39,9 +39,3 @@ def induced(edges_: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges between chosen nodes."""
     n = nodes.select("id").distinct()
     return edges_.join(n.select(F.col("id").alias("src")), "src", "left_semi").join(n.select(F.col("id").alias("dst")), "dst", "left_semi")
-
-
-def contents_table(chunks: DataFrame) -> DataFrame:
-    """Distinct structural parents (id, level, position, kind) in reading order."""
-    kinds = ["document", "section", "heading", "chapter"]
-    return chunks.select(F.explode("parent_nodes").alias("p")).select("p.*").where(F.col("kind").isin(kinds)).dropDuplicates(["id"])
