@@ -67,6 +67,25 @@ def _(t):
     return ch.chunked(t.documents, "late", 450, 80).groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum("n_sentences").alias("sentences"))
 
 
+@query("chunks_windows")
+def _(t):
+    d = t.documents.select("doc_id", "text", F.lit("late").alias("mode"), F.lit(None).cast("array<int>").alias("ends"))
+    return ch.hybrid(d).groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum("n_sentences").alias("sentences"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda c: c["text"]), "\n")).alias("texts_md5"))
+
+
+@query("chunks_hybrid")
+def _(t):
+    d, key = t.documents, F.col("doc_id")
+    d = d.select("doc_id", "text", F.when(key % 3 == 0, "agentic").when(key % 3 == 1, "late").alias("mode"), F.when(key % 2 == 0, F.array(F.lit(1))).alias("ends"))
+    return ch.hybrid(d).groupBy("mode", "fell_back").agg(F.count("*").alias("chunks"), F.count_distinct("doc_id").alias("documents"), F.max("n_sentences").alias("longest"))
+
+
+@query("chunks_sections")
+def _(t):
+    text = F.concat(F.lit("# "), "lang", F.lit("\nIntro of it.\n## "), "source", F.lit("\n"), "text", F.lit("\n# End\nThe end."))
+    return ch.by_section(t.documents.select("doc_id", text.alias("text"))).groupBy("doc_id", F.array_join("path", " / ").alias("path")).agg(F.count("*").alias("chunks"), F.sum(F.length("text")).alias("chars"))
+
+
 DANGLES = " OR ".join(f"starts_with(lower(text), '{p}') OR contains(left(lower(text), 50), ' {p}')" for p in ch.DANGLING)
 PROBLEMS = f"""SELECT conv_id, turn, list_filter([CASE WHEN length(text) < 50 THEN 'too_short' END, CASE WHEN length(text) > 2000 THEN 'too_long' END,
   CASE WHEN {DANGLES} THEN 'dangling_reference' END, CASE WHEN trim(text) <> '' AND NOT contains('.!?:"' || chr(39), right(trim(text), 1)) THEN 'incomplete_sentence' END,
