@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .sizes import bounded
+
 #: Squared norms up to this count as zero.
 ZERO = 1e-12
 
@@ -92,16 +94,16 @@ def set_cosine(a: Column, b: Column) -> Column:
     return F.when(n == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / n)
 
 
-def top_k(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "query_id", id_: str = "id") -> DataFrame:
+def top_k(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "query_id", id_: str = "id", broadcast_rows: int = 10_000) -> DataFrame:
     """query_id, id, distance (1 - cosine), rank: the k nearest by exact search.
 
-    queries (query_id, q) is the stated query set and is broadcast in the blocks its caller
-    makes; each task keeps k rows of a query before anything is shuffled.
+    queries (query_id, q) is the stated query set, broadcast up to `broadcast_rows` rows and else
+    in blocks of so many; each task keeps k rows of a query before anything is shuffled.
     """
     from pyspark.sql import Window
 
     unit_q = queries.select(query_id, unit(F.col("q")).alias("q")).where("q IS NOT NULL")
     unit_c = corpus.select(id_, unit(F.col("v")).alias("v")).where("v IS NOT NULL")
-    scored = unit_c.crossJoin(F.broadcast(unit_q)).select(query_id, id_, F.round(1 - dot(F.col("q"), F.col("v")), 6).alias("distance"))
+    scored = unit_c.crossJoin(bounded(unit_q, broadcast_rows)).select(query_id, id_, F.round(1 - dot(F.col("q"), F.col("v")), 6).alias("distance"))
     w = Window.partitionBy(query_id).orderBy("distance", id_)
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.sizes import bounded
 from ..functions.urls import host_suffixes
 
 
@@ -140,17 +141,22 @@ def domain_policy(hosts: DataFrame, rules: DataFrame) -> DataFrame:
 SELECTORS = ["collection_id", "workflow_id", "process", "doc_class", "tenant"]
 
 
-def routed(items: DataFrame, rules: DataFrame, default: str) -> DataFrame:
+def routed(items: DataFrame, rules: DataFrame, default: str, broadcast_rows: int = 10_000) -> DataFrame:
     """items (id and selectors) with the profile of the most specific rule; null selectors of rules match all.
 
-    conflict: two equally specific rules name different profiles. Rules are settings, a few rows.
+    conflict: two equally specific rules name different profiles. Rules are settings, a few rows: up to
+    `broadcast_rows` they are broadcast, else they meet the items in blocks.
     """
     r = rules.select(*[F.col(c).alias(f"r_{c}") for c in SELECTORS], "profile")
     cond = F.lit(True)
     for c in SELECTORS:
         cond = cond & (F.col(f"r_{c}").isNull() | (F.col(f"r_{c}") == F.col(c)))
     given = [F.col(f"r_{c}").isNotNull().cast("int") for c in SELECTORS]
-    hit = items.join(F.broadcast(r), cond, "left").withColumn("_p", F.struct(*given, sum(given, F.lit(0))))
+    if r.count() <= broadcast_rows:
+        met = items.join(F.broadcast(r), cond, "left")
+    else:
+        met = items.join(items.crossJoin(bounded(r, broadcast_rows)).where(cond).select("id", *r.columns), "id", "left")
+    hit = met.withColumn("_p", F.struct(*given, sum(given, F.lit(0))))
     w = Window.partitionBy("id")
     top = hit.withColumn("_top", F.max(F.when(F.col("profile").isNotNull(), F.col("_p"))).over(w)).where(F.col("_top").isNull() | (F.col("_p") == F.col("_top")))
     return top.groupBy("id").agg(F.coalesce(F.min("profile"), F.lit(default)).alias("profile"), (F.countDistinct("profile") > 1).alias("conflict"))

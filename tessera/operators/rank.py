@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.sizes import bounded
+
 # Weights of the rerank features by quality mode.
 WEIGHTS = {
     "standard": {"parent_relevance": 0.2, "section_match": 0.2, "confidence": 0.3, "adjacency_bonus": 0.2, "doc_type_match": 0.1, "question_density": 0.0},
@@ -200,7 +202,7 @@ def component_top(components: DataFrame, hits: DataFrame, k: int = 10) -> DataFr
 
     components (component, words) is the stated query set; each task keeps k hits a component.
     """
-    both = hits.crossJoin(F.broadcast(components))
+    both = hits.crossJoin(bounded(components))
     score = F.round(F.col("score") + 0.05 * F.size(F.filter("words", lambda w: F.contains(F.lower(F.col("text")), w))), 6)
     w = Window.partitionBy("component").orderBy(F.desc("score"), "id")
     return both.select("component", "id", score.alias("score")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

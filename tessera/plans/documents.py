@@ -153,42 +153,38 @@ def stream(t):
     return jobs.read_events(t.spark, f"{t.sf_dir}/events.parquet*", e.schema).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def name(prefix):
-    return f"{prefix}_{uuid.uuid4().hex}"
-
-
 @query("stream_rate_limits", "SELECT user_id, time_bucket(INTERVAL 60 SECOND, ts) AS window_start, count(*) AS n, least(count(*), 2) AS allowed FROM events GROUP BY ALL")
 def _(t):
-    got = jobs.run_available(jobs.rate_limits(stream(t), 2), name("rates"), "complete")
+    got = jobs.run_available(jobs.rate_limits(stream(t), 2), scratch(t, "rates"), "complete")
     return got.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 @query("stream_dedupe", "SELECT DISTINCT user_id, event_type FROM events")
 def _(t):
-    return jobs.run_available(jobs.once(stream(t), ["user_id", "event_type"], "3650 days").select("user_id", "event_type"), name("once"))
+    return jobs.run_available(jobs.once(stream(t), ["user_id", "event_type"], "3650 days").select("user_id", "event_type"), scratch(t, "once"))
 
 
 @query("stream_feedback")
 def _(t):
-    got = jobs.run_available(jobs.feedback_weights(stream(t)), name("weights"), "complete")
+    got = jobs.run_available(jobs.feedback_weights(stream(t)), scratch(t, "weights"), "complete")
     return got.select(F.col("at").cast("string").alias("at"), "event_type", F.round("weight", 4).alias("weight"))
 
 
 @query("stream_dead_letters", "SELECT event_id FROM events WHERE NOT (value < 50)")
 def _(t):
-    return jobs.run_available(jobs.split_bad(stream(t), F.col("value") < 50)[1].select("event_id"), name("dead"))
+    return jobs.run_available(jobs.split_bad(stream(t), F.col("value") < 50)[1].select("event_id"), scratch(t, "dead"))
 
 
 @query("stream_changes")
 def _(t):
     s = stream(t).select(F.col("user_id").alias("key"), F.col("event_id").alias("at"), F.md5("event_type").alias("hash"))
-    return jobs.run_available(jobs.changes(s), name("changes"))
+    return jobs.run_available(jobs.changes(s), scratch(t, "changes"))
 
 
 @query("stream_breaker")
 def _(t):
     s = stream(t).select("user_id", "ts", (F.col("event_type") != "error").alias("ok"))
-    return jobs.run_available(jobs.breaker(s), name("breaker"), "update")
+    return jobs.run_available(jobs.breaker(s), scratch(t, "breaker"), "update")
 
 
 def scratch(t, kind):

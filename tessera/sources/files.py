@@ -230,7 +230,10 @@ def current(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names for driver and executors; a temporary one only where none is set."""
+    """The folder that the cluster names for driver and executors; a temporary one only in local mode where none is set."""
     import tempfile
 
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-")
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return named or tempfile.mkdtemp(prefix="tessera-")

@@ -79,8 +79,16 @@ def changes(docs: DataFrame) -> DataFrame:
     return docs.groupBy("key").applyInPandasWithState(step, "key long, status string, version int", "last string, version int", "append", GroupStateTimeout.NoTimeout)
 
 
-def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there now; its rows as a table in memory (for tests and small results)."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+def run_available(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
+    """Run a stream over what is there now; its rows as a Parquet table under a path of the shared folder.
+
+    A batch that is run again writes over its own folder. In mode complete the last batch is the whole result. The
+    stream goes on from the path's checkpoint when it is run again.
+    """
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/rows/{'whole' if mode == 'complete' else f'batch={batch}'}")
+
+    q = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(f"{path}/rows")

@@ -6,9 +6,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tessera.functions import pii
+from tessera.functions import pii, vectors
 from tessera.operators import chunking as ch
 from tessera.operators import lookups as lk
+from tessera.operators import policy as po
 
 
 def one(spark, value, f):
@@ -88,3 +89,16 @@ def test_hybrid_and_sections(spark):
     assert ch.sections(None) == ch.sections("# only") == []
     made = ch.by_section(spark.createDataFrame([(1, "# A\n" + "w " * 300 + "\n# B\nend."), (2, None)], "doc_id long, text string")).orderBy("ord").collect()
     assert [r.path for r in made][-1] == ["B"] and made[-1].text == "end." and all(r.path == ["A"] for r in made[:-1]) and len(made) > 2
+
+
+def test_broadcasts_are_bounded(spark):
+    """Beyond the bound: the same rows, nothing broadcast."""
+    v = spark.range(60).select(F.col("id"), F.array(F.col("id").cast("double"), F.lit(7.0), (F.col("id") % 5).cast("double")).alias("v"))
+    q = v.where("id % 3 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+    small, large = vectors.top_k(q, v, 4), vectors.top_k(q, v, 4, broadcast_rows=3)
+    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, large.collect())) and large.count() == 80
+    assert "Broadcast" not in large._jdf.queryExecution().executedPlan().toString()
+    items = spark.createDataFrame([(i, f"c{i % 3}", None, None, None, f"t{i % 2}") for i in range(12)], "id long, collection_id string, workflow_id string, process string, doc_class string, tenant string")
+    rules = spark.createDataFrame([("c0", None, None, None, None, "a"), (None, None, None, None, "t1", "b"), ("c0", None, None, None, "t1", "c"), ("c2", None, None, None, None, "d"), ("c2", None, None, None, None, "e")], "collection_id string, workflow_id string, process string, doc_class string, tenant string, profile string")
+    small, large = po.routed(items, rules, "z"), po.routed(items, rules, "z", broadcast_rows=2)
+    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, large.collect())) and large.count() == 12

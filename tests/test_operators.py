@@ -96,7 +96,7 @@ def test_streams(spark, tmp_path):
     df = spark.createDataFrame(rows, "user_id long, ts string, ok boolean").withColumn("ts", F.to_timestamp("ts"))
     df.write.parquet(str(tmp_path / "e"))
     stream = jobs.read_events(spark, str(tmp_path / "e"), df.schema)
-    got = {r.user_id: (r.state, r.failures) for r in jobs.run_available(jobs.breaker(stream), "breaker_test", "update").collect()}
+    got = {r.user_id: (r.state, r.failures) for r in jobs.run_available(jobs.breaker(stream), str(tmp_path / "out"), "update").collect()}
     assert got == {1: ("open", 3), 2: ("closed", 0)}
 
 
