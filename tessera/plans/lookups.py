@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+from xml.sax.saxutils import escape
+
 from pyspark.sql import functions as F
 
 from ..functions import pii
 from ..operators import lookups as lk
+from ..sources import files
 from .registry import query
 
 NOW = "TIMESTAMP '2024-06-01 00:00:00'"
@@ -117,3 +122,49 @@ def _(t):
     s = t.orders.select("o_orderstatus", (F.col("o_orderkey") % 3).cast("double").alias("v"), (F.col("o_custkey") % 2).cast("double").alias("l"))
     v, x = F.coalesce("v", F.lit(0.0)) > 0, F.coalesce("l", F.lit(0.0)) > 0
     return s.groupBy("o_orderstatus").agg(F.count_if(v & ~x).alias("vector_only"), F.count_if(x & ~v).alias("lexical_only"), F.count_if(v & x).alias("both_legs"), F.count_if(~v & ~x).alias("neither"))
+
+
+def written_as(kind: str):
+    """The bytes of a file of that kind with a text's lines as its paragraphs, a slide's or a sheet's rows."""
+    shapes = {
+        "docx": ("word/document.xml", "<document><body>%s</body></document>", "<p><r><t>%s</t></r></p>"),
+        "pptx": ("ppt/slides/slide1.xml", "<sld>%s</sld>", "<p><r><t>%s</t></r></p>"),
+        "xlsx": ("xl/worksheets/sheet1.xml", "<worksheet><sheetData>%s</sheetData></worksheet>", "<row><c><v>%s</v></c></row>"),
+    }
+    part, whole, line = shapes[kind]
+
+    def one(text):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr(part, whole % "".join(line % escape(x) for x in (text or "").split("\n")))
+        return out.getvalue()
+
+    return F.pandas_udf(lambda s: s.map(one), "binary")
+
+
+OFFICE = {"docx": "wordprocessingml.document", "pptx": "presentationml.presentation", "xlsx": "spreadsheetml.sheet"}
+LINES = "regexp_replace(coalesce(text, ''), '[^a-zA-Z \\n]', '', 'g')"
+
+
+@query("office_blocks", f"""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split({LINES}, chr(10)), lambda x: CASE WHEN doc_id % 3 = 2 THEN x ELSE trim(x) END), lambda x: x <> '') AS l FROM documents),
+  b AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN l ELSE CASE WHEN len(l) > 0 THEN [array_to_string(l, chr(10))] ELSE [] END END AS b FROM l)
+  SELECT doc_id, (['paragraph', 'slide', 'table_summary'])[doc_id % 3 + 1] AS kind, len(b) AS blocks, md5(array_to_string(b, chr(10))) AS texts_md5 FROM b WHERE len(b) > 0""")
+def _(t):
+    clean = F.regexp_replace(F.coalesce("text", F.lit("")), "[^a-zA-Z \n]", "")
+    kinds = list(OFFICE)
+    whole = None
+    for k, kind in enumerate(kinds):
+        d = t.documents.where(F.col("doc_id") % 3 == k).select(F.col("doc_id").alias("id"), F.lit(f"application/vnd.openxmlformats-officedocument.{OFFICE[kind]}").alias("media_type"), written_as(kind)(clean).alias("content"))
+        whole = d if whole is None else whole.unionAll(d)
+    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "text"))), lambda b: b["text"]), "\n")
+    return files.parse(whole).groupBy(F.col("id").alias("doc_id"), "kind").agg(F.count("*").alias("blocks"), F.md5(texts).alias("texts_md5"))
+
+
+@query("text_and_image_blocks", """SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'paragraph' ELSE 'other' END AS kind, CASE WHEN doc_id % 2 = 0 THEN source || chr(10) || lang ELSE 'image/' || (['png', 'jpeg', 'gif', 'unknown'])[doc_id % 4 + 1] END AS texts FROM documents""")
+def _(t):
+    d, key = t.documents, F.col("doc_id")
+    magic = F.element_at(F.array(*[F.unhex(F.lit(h)) for h in ("89504E47", "FFD8FF", "474946383961", "00")]), (key % 4 + 1).cast("int"))
+    text = F.encode(F.concat("source", F.lit(" \n \n\n"), "lang", F.lit("\n")), "UTF-8")
+    f = d.select(key.alias("id"), F.when(key % 2 == 0, "text/plain").otherwise("image/any").alias("media_type"), F.when(key % 2 == 0, text).otherwise(magic).alias("content"))
+    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "text"))), lambda b: b["text"]), "\n")
+    return files.parse(f).groupBy(F.col("id").alias("doc_id"), "kind").agg(texts.alias("texts"))
