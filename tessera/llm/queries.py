@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, warc
+from . import decontaminate, exact_dedup, fill_middle, warc
 from .lines import line_dedup
 from .pieces import encoded_digests, token_counts
 from .shared import table
@@ -29,6 +29,8 @@ QUERIES = {
     "op9_decontaminate": op9_decontaminate,
     "op4_sentencepiece": lambda spark, sf_dir: encoded_digests(table(spark, sf_dir, "documents")),
     "op10_token_counts": lambda spark, sf_dir: token_counts(table(spark, sf_dir, "documents")),
+    "op11_exact_dedup": lambda spark, sf_dir: exact_dedup.exact_classes(table(spark, sf_dir, "documents")),
+    "op12_fill_middle": lambda spark, sf_dir: fill_middle.digests(fill_middle.examples(table(spark, sf_dir, "documents"))),
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_warc": warc.SQL, "op9_decontaminate": decontaminate.SQL}
+ORACLE_SQL: dict[str, str] = {"op7_warc": warc.SQL, "op9_decontaminate": decontaminate.SQL, "op11_exact_dedup": exact_dedup.SQL, "op12_fill_middle": fill_middle.SQL}
