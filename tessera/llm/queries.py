@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import decontaminate, exact_dedup, fill_middle, warc
+from .alignment import cross_alignment
 from .lines import line_dedup
 from .pieces import encoded_digests, token_counts
 from .shared import table
@@ -30,6 +31,7 @@ QUERIES = {
     "op4_sentencepiece": lambda spark, sf_dir: encoded_digests(table(spark, sf_dir, "documents")),
     "op10_token_counts": lambda spark, sf_dir: token_counts(table(spark, sf_dir, "documents")),
     "op11_exact_dedup": lambda spark, sf_dir: exact_dedup.exact_classes(table(spark, sf_dir, "documents")),
+    "op13_alignment": lambda spark, sf_dir: cross_alignment(table(spark, sf_dir, "documents")),
     "op12_fill_middle": lambda spark, sf_dir: fill_middle.digests(fill_middle.examples(table(spark, sf_dir, "documents"))),
 }
 
