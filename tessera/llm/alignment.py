@@ -10,17 +10,13 @@ another character, so that no merge crosses, and A's pre-tokens have white space
 start only. A segment's ids are therefore the same in every text, and a text's groups and
 links are those of its segments, one after another.
 
-Spark does it in three steps, each a table in the shared folder:
-
-1. Texts become lists of numbers into a table of the distinct segments of their block, a
-   bounded stretch of one input partition.
-2. The segments of all blocks are counted, and each distinct one is encoded and aligned once.
-   Its id pairs, times its occurrences, add up to the counts of pairs in the corpus, which
-   give every segment its sums over links.
-3. The alignments return to the blocks that hold the segment; a task reads a block's
-   alignments, then composes its documents by look-up, one at a time.
-
-A frequent segment has one row a block, not one an occurrence. Memory holds one block.
+A task keeps a table of the distinct segments of a block, a bounded stretch of its input; each
+is encoded and aligned once, and the block's documents are composed from the table by
+position. A block's linked id pairs are numbered; a document carries the numbers of its pairs.
+Spark adds the pairs of all blocks up, and the counts return to the blocks that have the pair,
+whose documents then sum over their links. Pairs have one row a block, not one an occurrence,
+and neither texts nor segments are shuffled; tables that grow with the corpus aren't sent to
+any task whole. Memory holds one block.
 
 Defined results: texts that are null or empty, or whose joined tokens aren't space and text
 (those with U+2581, which B takes for a space), have no tokens: zeros and an empty string,
@@ -35,12 +31,15 @@ import hashlib
 import json
 import os
 import re
-from collections import Counter
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, islice
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,6 +59,17 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Aligned(NamedTuple):
+    """Of a list of segments: numbers of tokens and groups, the groups as text, and the links, one segment after another."""
+
+    n_a: np.ndarray
+    n_b: np.ndarray
+    n_groups: np.ndarray
+    groups: list[str]
+    n_links: np.ndarray
+    links: np.ndarray
+
+
 class Pair:
     """Both tokenizers, the bytes of their ids, and the segments at which they can't merge."""
 
@@ -80,6 +90,9 @@ class Pair:
         for entry, i in vocabulary.items():
             self.a_bytes[i] = entry.encode() if special.get(entry) == i else bytes(letters[c] for c in entry)
         self.b_bytes = [self.piece(i) for i in range(self.b.get_piece_size())]
+        self.a_size, self.b_size = (np.array([len(x) for x in t]) for t in (self.a_bytes, self.b_bytes))
+        self.a_words = np.array([[f"{i}{end}" for i in range(len(self.a_bytes))] for end in (",", "|")], object)
+        self.b_words = np.array([[f"{i}{end}" for i in range(len(self.b_bytes))] for end in (",", ";", "")], object)
         self.mark = self.b.piece_to_id(MARK)
         self.safe = self.breaks()
         if " " not in self.safe:
@@ -108,35 +121,41 @@ class Pair:
         """The segments of space and text; none if the text has no tokens."""
         return [] if not text or MARK in text else self.segments.findall(" " + text)
 
-    def encoded(self, segments: list[str]) -> Iterator[tuple[list[int], list[int]]]:
+    def encoded(self, segments: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """ids by A and by B. B puts a space before what it gets: it is a segment's own, or a lone mark that is dropped."""
-        for a, s, b in zip(self.a.encode_batch(segments, add_special_tokens=False), segments, self.b.encode([s[1:] if s[0] == " " else s for s in segments], num_threads=1), strict=True):
+        in_a = [e.ids for e in self.a.encode_batch_fast(segments, add_special_tokens=False)]
+        in_b = self.b.encode([s[1:] if s[0] == " " else s for s in segments], num_threads=1)
+        for k, s in enumerate(segments):
             if s == " ":
-                b = [self.mark]
+                in_b[k] = [self.mark]
             elif s[0] != " ":
-                if b[0] != self.mark:
+                if in_b[k][0] != self.mark:
                     raise ValueError(f"segment {s[:20]!r} merges with the mark before it")
-                b = b[1:]
-            yield a.ids, b
-
-    def aligned(self, a: list[int], b: list[int]) -> tuple[str, list[tuple[int, int]]]:
-        """The groups as text, and the linked ids."""
-        groups, links = [], []
-        i = j = first_a = first_b = 0
-        end_a, end_b = len(self.a_bytes[a[0]]), len(self.b_bytes[b[0]])
-        while True:
-            links.append((a[i], b[j]))
-            step_a, step_b = end_a <= end_b, end_b <= end_a
-            i, j = i + step_a, j + step_b
-            if step_a and step_b:
-                groups.append(",".join(map(str, a[first_a:i])) + "|" + ",".join(map(str, b[first_b:j])))
-                first_a, first_b = i, j
-                if i == len(a):
-                    return ";".join(groups), links
-            if step_a:
-                end_a += len(self.a_bytes[a[i]])
-            if step_b:
-                end_b += len(self.b_bytes[b[j]])
+                del in_b[k][0]
+        return in_a, in_b
+
+    def aligned(self, segments: list[str]) -> Aligned:
+        """All segments at once: their tokens stand one after another, and both sides end together at each segment's end."""
+        in_a, in_b = self.encoded(segments)
+        n_a, n_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (in_a, in_b))
+        a, b = (np.fromiter(chain.from_iterable(x), np.int64) for x in (in_a, in_b))
+        raw = "".join(segments).encode()
+        if b"".join(map(self.a_bytes.__getitem__, a.tolist())) != raw or b"".join(map(self.b_bytes.__getitem__, b.tolist())) != raw:
+            raise ValueError("joined tokens aren't the segments' bytes")
+        end_a, end_b = self.a_size[a].cumsum(), self.b_size[b].cumsum()
+        ends = end_a[n_a.cumsum() - 1]
+        cuts = np.union1d(end_a, end_b)  # between two cuts there is one link
+        links = a[np.searchsorted(end_a, cuts)] << 32 | b[np.searchsorted(end_b, cuts)]
+        both = np.intersect1d(end_a, end_b, assume_unique=True)
+        group_a, group_b = np.searchsorted(both, end_a), np.searchsorted(both, end_b)
+        last_a, last_b = both[group_a] == end_a, both[group_b] == end_b
+        words = np.empty(len(a) + len(b), object)
+        words[np.arange(len(a)) + np.searchsorted(group_b, group_a)] = self.a_words[last_a.astype(int), a]
+        words[np.arange(len(b)) + np.searchsorted(group_a, group_b, "right")] = self.b_words[last_b.astype(int) + np.isin(end_b, ends), b]
+        to, parts = (n_a + n_b).cumsum().tolist(), words.tolist()
+        texts = ["".join(parts[lo:hi]) for lo, hi in zip([0, *to], to, strict=False)]
+        per = lambda at: np.diff(np.searchsorted(at, ends, "right"), prepend=0)
+        return Aligned(n_a, n_b, per(both), texts, per(cuts), links)
 
 
 @lru_cache(maxsize=2)
@@ -144,107 +163,150 @@ def pair(a: str, b: str) -> Pair:
     return Pair(a, b)
 
 
-def batches_of(rows: Iterator[tuple], schema: pa.Schema, most: int, weight) -> Iterator[pa.RecordBatch]:
-    """Rows as record batches that end at `most` of a weight."""
-    held, n = [], 0
-    pack = lambda: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
-    for row in rows:
-        held.append(row)
-        n += weight(row)
-        if n >= most:
-            yield pack()
-            held, n = [], 0
-    if held:
-        yield pack()
-
-
-def blocks(docs: DataFrame, a: str, b: str, block_chars: int) -> DataFrame:
-    """Rows of two kinds: a block's segments (block, pos, segment, n) and its documents (block, doc_id, places).
-
-    places: positions of the text's segments as unsigned 32-bit numbers. A block ends with the
-    text that reaches block_chars.
+class Block:
+    """The distinct segments of a stretch of texts, aligned once each, and the numbers of their pairs."""
+
+    def __init__(self, both: Pair):
+        self.both, self.new = both, []
+        self.places = Places(self.new)
+        self.groups: list[str] = []
+        self.numbers: dict[int, int] = {}
+        self.shape, self.first, self.links = array("q"), array("q", [0]), array("I")  # shape: n_a, n_b, n_groups of each segment
+        self.n = array("q")
+        self.chars = 0
+
+    def located(self, text: str | None) -> np.ndarray:
+        """Positions of a text's segments in the table."""
+        self.chars += len(text or "")
+        return np.fromiter(map(self.places.__getitem__, self.both.split(text)), np.int64)
+
+    def align(self, at_once: int = 4096) -> None:
+        """Encode and align the segments that are new since the last call."""
+        for lo in range(0, len(self.new), at_once):
+            got = self.both.aligned(self.new[lo : lo + at_once])
+            self.groups += got.groups
+            self.shape.frombytes(np.stack([got.n_a, got.n_b, got.n_groups], 1).astype(np.int64).tobytes())
+            self.first.frombytes((self.first[-1] + got.n_links.cumsum()).astype(np.int64).tobytes())
+            known, at = np.unique(got.links, return_inverse=True)
+            numbers = np.array([self.numbers.setdefault(p, len(self.numbers)) for p in known.tolist()], np.uint32)
+            self.links.frombytes(numbers[at].tobytes())
+        self.new.clear()
+        self.n.extend([0] * (len(self.numbers) - len(self.n)))
+
+    def document(self, at: np.ndarray) -> tuple:
+        """n_a, n_b, n_groups, n_links, groups_sha256, and the packed pairs of the text at these positions."""
+        if not len(at):
+            return 0, 0, 0, 0, "", None
+        a, b, groups = np.frombuffer(self.shape, np.int64).reshape(-1, 3)[at].sum(0).tolist()
+        first = np.frombuffer(self.first, np.int64)
+        lo, size = first[at], first[at + 1] - first[at]
+        where = np.arange(size.sum()) + np.repeat(lo - (size.cumsum() - size), size)
+        pairs, k = np.unique(np.frombuffer(self.links, np.uint32)[where], return_counts=True)
+        np.frombuffer(self.n, np.int64)[pairs] += k
+        text = ";".join([self.groups[i] for i in at.tolist()])
+        return a, b, groups, len(where), hashlib.sha256(text.encode()).hexdigest(), packed(pairs, k)
+
+
+class Places(dict):
+    """segment -> position; what is missing is added and noted."""
+
+    def __init__(self, new: list[str]):
+        super().__init__()
+        self.new = new
+
+    def __missing__(self, segment: str) -> int:
+        self.new.append(segment)
+        self[segment] = at = len(self)
+        return at
+
+
+def packed(numbers: np.ndarray, k: np.ndarray) -> bytes:
+    """Ascending numbers and how often each occurs, compressed byte by byte of their steps."""
+    planes = np.stack([np.diff(numbers.astype(np.int64), prepend=0), k]).astype("<u4").view(np.uint8)
+    return zstandard.ZstdCompressor(level=1).compress(planes.reshape(-1, 4).T.tobytes())
+
+
+def unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
+    steps, k = np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").reshape(2, -1).astype(np.int64)
+    return steps.cumsum(), k
+
+
+def batches_of(rows: Iterator[tuple], schema: pa.Schema, most: int = 4096) -> Iterator[pa.RecordBatch]:
+    """Rows as record batches of at most so many."""
+    while held := list(islice(rows, most)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+
+
+def blocks(docs: DataFrame, a: str, b: str, block_chars: int, texts_at_once: int = 64) -> DataFrame:
+    """Rows of two kinds: a block's pairs (block, no, pair, n) and its documents (block, doc_id, their figures, packed pairs).
+
+    A pair is a << 32 | b. A block ends with the text that reaches block_chars.
     """
-    schema = pa.schema([("block", pa.int64()), ("pos", pa.int32()), ("segment", pa.string()), ("n", pa.int64()), ("doc_id", pa.int64()), ("places", pa.binary())])
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        both, block = pair(a, b), TaskContext.get().partitionId() << 32
-        found: dict[str, int] = {}
-        counts, chars = Counter(), 0
-        place = lambda s: found.setdefault(s, len(found))
-        ends = lambda: ((block, pos, s, counts[pos], None, None) for s, pos in found.items())
-        for batch in batches:
-            texts = batch.column("text")
-            for i, doc_id in enumerate(batch.column("doc_id").to_pylist()):
-                text = texts[i].as_py() or ""
-                at = np.fromiter(map(place, both.split(text)), np.uint32)
-                counts.update(dict(zip(*(x.tolist() for x in np.unique(at, return_counts=True)), strict=True)))
-                chars += len(text)
-                yield block, None, None, None, doc_id, at.astype("<u4").tobytes()
-                if chars >= block_chars:
-                    yield from ends()
-                    found.clear()
-                    counts.clear()
-                    block, chars = block + 1, 0
-        yield from ends()
-
-    weigh = lambda r: len(r[5]) if r[2] is None else 40 + len(r[2])
-    taken = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return taken.mapInArrow(lambda batches: batches_of(rows(batches), schema, 1 << 22, weigh), "block long, pos int, segment string, n long, doc_id long, places binary")
+    kinds = {"block": "long", "no": "int", "pair": "long", "n": "long", "doc_id": "long", "n_a": "long", "n_b": "long", "n_groups": "long", "n_links": "long", "groups_sha256": "string", "pairs": "binary"}
+    types = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
+    schema = pa.schema([(c, types[t]) for c, t in kinds.items()])
 
-
-def aligned_segments(segments: DataFrame, a: str, b: str, at_once: int = 512) -> DataFrame:
-    """segment, n -> the same with n_a, n_b, groups and its linked pairs (a << 32 | b) with their numbers."""
-    schema = pa.schema([("segment", pa.string()), ("n", pa.int64()), ("n_a", pa.int32()), ("n_b", pa.int32()), ("groups", pa.string()), ("pairs", pa.list_(pa.int64())), ("times", pa.list_(pa.int32()))])
+    def ends(number: int, block: Block) -> Iterator[tuple]:
+        for (p, no), n in zip(block.numbers.items(), block.n, strict=True):
+            if n:
+                yield number, no, p, n, *[None] * 7
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        both = pair(a, b)
+        both, number = pair(a, b), TaskContext.get().partitionId() << 32
+        block = Block(both)
         for batch in batches:
-            for lo in range(0, batch.num_rows, at_once):
-                part = batch.slice(lo, at_once)
-                texts = part.column("segment").to_pylist()
-                for s, n, (x, y) in zip(texts, part.column("n").to_pylist(), both.encoded(texts), strict=True):
-                    raw = s.encode()
-                    if b"".join([both.a_bytes[i] for i in x]) != raw or b"".join([both.b_bytes[i] for i in y]) != raw:
-                        raise ValueError(f"tokens of segment {s[:20]!r} aren't its bytes")
-                    groups, links = both.aligned(x, y)
-                    held = Counter([p << 32 | q for p, q in links])
-                    yield s, n, len(x), len(y), groups, list(held), list(held.values())
+            for lo in range(0, batch.num_rows, texts_at_once):
+                part = batch.slice(lo, texts_at_once)
+                texts = part.column("text")
+                located = [block.located(texts[i].as_py()) for i in range(part.num_rows)]
+                block.align()
+                for doc_id, at in zip(part.column("doc_id").to_pylist(), located, strict=True):
+                    yield number, None, None, None, doc_id, *block.document(at)
+                if block.chars >= block_chars:
+                    yield from ends(number, block)
+                    number, block = number + 1, Block(both)
+        yield from ends(number, block)
 
-    return segments.mapInArrow(lambda batches: batches_of(rows(batches), schema, 1 << 22, lambda r: 60 + len(r[0]) + len(r[4]) + 12 * len(r[5])), "segment string, n long, n_a int, n_b int, groups string, pairs array<long>, times array<int>")
+    taken = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return taken.mapInArrow(lambda batches: batches_of(rows(batches), schema), ", ".join(f"{c} {t}" for c, t in kinds.items()))
 
 
-def pair_counts(aligned: DataFrame) -> DataFrame:
+def pair_counts(pairs: DataFrame) -> DataFrame:
     """pair, count (links in the whole corpus), best (whether no pair of its B id has more)."""
-    counts = aligned.select("n", F.explode(F.arrays_zip("pairs", "times")).alias("p")).groupBy(F.col("p.pairs").alias("pair")).agg(F.sum(F.col("p.times") * F.col("n")).alias("count"))
+    counts = pairs.groupBy("pair").agg(F.sum("n").alias("count"))
     of_b = Window.partitionBy(F.col("pair").bitwiseAND(0xFFFFFFFF))  # at most as many rows as A has ids
     return counts.select("pair", "count", (F.col("count") == F.max("count").over(of_b)).alias("best"))
 
 
-def composed(rows: DataFrame) -> DataFrame:
-    """Documents of blocks from their alignments; a block's alignments come before its documents."""
-    schema = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")), ("groups_sha256", pa.string())])
+FIGURES = ["n_a", "n_b", "n_groups", "n_links"]
+
+
+def summed(rows: DataFrame) -> DataFrame:
+    """Documents with the sums over their links; the counts of a block's pairs come before its documents."""
+    schema = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in (*FIGURES, "n_best", "count_sum")), ("groups_sha256", pa.string())])
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        block, groups, sums, table = None, [], [], np.zeros((0, 5), np.int64)
+        of, table, known = None, None, []
         for batch in batches:
-            columns = {c: batch.column(c) for c in batch.schema.names}
-            numbers = list(zip(*(columns[c].to_pylist() for c in ("block", "pos", "n_a", "n_b", "n_best", "count_sum")), strict=True))
-            for i, (of, pos, n_a, n_b, n_best, count_sum) in enumerate(numbers):
-                if of != block:
-                    block, groups, sums, table = of, [], [], None
-                if pos is not None:
-                    text = columns["groups"][i].as_py()
-                    groups.append(text)
-                    sums.append((n_a, n_b, text.count(";") + 1, n_best, count_sum))
+            for row in zip(*(batch.column(c).to_pylist() for c in ("block", "no", "count", "best", "doc_id", *FIGURES, "groups_sha256", "pairs")), strict=True):
+                block, no, count, best, doc_id, *figures, sha, raw = row
+                if block != of:
+                    of, table, known = block, None, []
+                if no is not None:
+                    known.append((no, count, best))
                     continue
                 if table is None:
-                    table, sums = np.array(sums, np.int64).reshape(-1, 5), []
-                at = np.frombuffer(columns["places"][i].as_py(), "<u4")
-                a, b, n, best, total = table[at].sum(0).tolist()
-                text = ";".join([groups[k] for k in at.tolist()])
-                yield columns["doc_id"][i].as_py(), a, b, n, a + b - n, best, total, hashlib.sha256(text.encode()).hexdigest() if text else ""
+                    table = np.zeros((2, 1 + max((x for x, _, _ in known), default=0)), np.int64)
+                    for no, count, best in known:
+                        table[:, no] = count, best
+                n_best = count_sum = 0
+                if raw is not None:
+                    numbers, k = unpacked(raw)
+                    count_sum, n_best = (table[:, numbers] @ k).tolist()
+                yield doc_id, *figures, n_best, count_sum, sha
 
-    return rows.mapInArrow(lambda batches: batches_of(documents(batches), schema, 4096, lambda r: 1), "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
+    return rows.mapInArrow(lambda batches: batches_of(documents(batches), schema), "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
 
 
 def cross_alignment(docs: DataFrame, a: str = BYTE_MODEL, b: str = PIECE_MODEL, block_chars: int = 1 << 25) -> DataFrame:
@@ -255,17 +317,10 @@ def cross_alignment(docs: DataFrame, a: str = BYTE_MODEL, b: str = PIECE_MODEL,
     """
     spark = docs.sparkSession
     with scratch(spark, "alignment") as place:
-        blocks(docs, a, b, block_chars).write.option("compression", "zstd").parquet(f"{place}/blocks")
-        parts = spark.read.parquet(f"{place}/blocks")
-        held = parts.where("segment is not null").select("block", "pos", "segment")
-        distinct = parts.where("segment is not null").groupBy("segment").agg(F.sum("n").alias("n"))
-        aligned_segments(distinct, a, b).withColumn("sid", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(f"{place}/aligned")
-        aligned = spark.read.parquet(f"{place}/aligned")
-        links = aligned.select("sid", F.explode(F.arrays_zip("pairs", "times")).alias("p")).select("sid", F.col("p.pairs").alias("pair"), F.col("p.times").alias("k"))
-        scores = links.join(pair_counts(aligned), "pair").groupBy("sid").agg(F.sum(F.when(F.col("best"), F.col("k")).otherwise(0)).alias("n_best"), F.sum(F.col("k") * F.col("count")).alias("count_sum"))
-        scored = aligned.select("sid", "segment", "n_a", "n_b", "groups").join(scores, "sid").drop("sid")
-        back = held.join(scored, "segment").select("block", "pos", "n_a", "n_b", "groups", "n_best", "count_sum", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("places"))
-        empty = [F.lit(None).cast(t).alias(c) for c, t in (("pos", "int"), ("n_a", "int"), ("n_b", "int"), ("groups", "string"), ("n_best", "long"), ("count_sum", "long"))]
-        texts = parts.where("segment is null").select("block", *empty, "doc_id", "places")
-        ordered = back.unionByName(texts).repartition("block").sortWithinPartitions("block", F.asc_nulls_last("pos"))
-        return written(composed(ordered), "aligned-documents")
+        blocks(docs, a, b, block_chars).write.option("compression", "zstd").parquet(place)
+        parts = spark.read.parquet(place)
+        pairs = parts.where("no is not null").select("block", "no", "pair", "n")
+        texts = parts.where("no is null").select("block", "doc_id", *FIGURES, "groups_sha256", "pairs")
+        counted = pairs.select("block", "no", "pair").join(pair_counts(pairs), "pair").select("block", "no", "count", "best")
+        ordered = counted.unionByName(texts, allowMissingColumns=True).repartition("block").sortWithinPartitions("block", F.asc_nulls_last("no"))
+        return written(summed(ordered), "aligned-documents")
