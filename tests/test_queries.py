@@ -7,7 +7,7 @@ import pytest
 
 from tessera.plans import registry
 
-for module in ("content", "documents", "lookups", "policy", "relational", "scalars", "search", "text"):
+for module in ("content", "documents", "lookups", "policy", "relational", "scalars", "scoped", "search", "text"):
     importlib.import_module(f"tessera.plans.{module}")
 
 SF = "/root/testdata/sf0.001"
