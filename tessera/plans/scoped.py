@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import probe as pr
 from ..operators import scoped as sc
 from ..operators import search as se
 from .registry import query
@@ -136,3 +137,28 @@ def _(t):
     )
     out = sc.routed(r, i % 3 == 2)
     return out.select("doc_id", F.col("collection_ids_asked").alias("collection_ids"), F.col("collection_asked").alias("collection"), F.col("doc_class_asked").alias("doc_class"), F.when(i % 2 == 1, F.col("visibility_shown")).otherwise("active").alias("visibility"))
+
+
+#: Documents of five vectors each; every fourth has no scope. Centroids of those whose id is divisible by 20 ask all chunks of their scope.
+PARTS = """WITH e AS (SELECT vec_id // 5 AS id, vec_id AS chunk, CASE WHEN vec_id // 5 % 4 > 0 THEN vec_id // 5 % 4 END AS scope, embedding::double[] AS v FROM embeddings),
+m AS (SELECT id, any_value(scope) AS scope, list(x ORDER BY i) AS v FROM (SELECT id, scope, i, avg(v[i]) AS x FROM e, range(1, 65) r(i) GROUP BY ALL) WHERE id % 20 = 0 GROUP BY id),
+u AS (SELECT id, scope, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS v FROM m)"""
+
+
+def parts(t):
+    i = F.floor(F.col("vec_id") / 5)
+    c = t.embeddings.select(i.alias("id"), F.col("vec_id").alias("chunk"), F.when(i % 4 > 0, i % 4).alias("scope"), F.col("embedding").alias("v"))
+    return pr.document_centroids(c.where("id % 20 = 0")), c
+
+
+BEST = "SELECT * FROM (SELECT id, other, chunk, similarity, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, other)::int AS rank FROM (SELECT *, row_number() OVER (PARTITION BY id, other ORDER BY similarity DESC, chunk) AS r FROM s) WHERE r = 1) WHERE rank <= 8"
+
+
+@query("near_duplicate_probe", f"{PARTS}, s AS (SELECT u.id, e.id AS other, e.chunk, round(greatest(0, least(1, list_cosine_similarity(u.v, e.v))), 6) AS similarity FROM u JOIN e ON u.id <> e.id AND u.scope IS NOT DISTINCT FROM e.scope WHERE round(list_cosine_similarity(u.v, e.v), 6) >= 0.2) {BEST}")
+def _(t):
+    return pr.near_documents(*parts(t), threshold=0.2)
+
+
+@query("near_duplicate_probe_l2", f"{PARTS}, s AS (SELECT * REPLACE (round(greatest(0, 1 - least(1, similarity / sqrt(2 * (1 - 0.2)))), 6) AS similarity) FROM (SELECT u.id, e.id AS other, e.chunk, list_distance(u.v, e.v) AS similarity FROM u JOIN e ON u.id <> e.id AND u.scope IS NOT DISTINCT FROM e.scope) WHERE similarity <= sqrt(2 * (1 - 0.2)) + 1e-9) {BEST}")
+def _(t):
+    return pr.near_documents(*parts(t), threshold=0.2, metric="l2")
