@@ -55,18 +55,6 @@ def permitted(matches: DataFrame, accessible: DataFrame) -> DataFrame:
     return matches.join(have, ["user_id", "document_id"], "left").where(F.col("document_id").isNull() | F.col("_ok")).drop("_ok")
 
 
-def accessible_documents(users: DataFrame, documents: DataFrame, permissions: DataFrame, now: Column) -> DataFrame:
-    """user_id, document_id: by tenant-wide role, ownership or an unexpired permission; active profiles only.
-
-    users (user_id, active, role), documents (document_id, owner), permissions (user_id, document_id, expires_at).
-    """
-    u = users.where("active")
-    wide = u.where(F.col("role") == "admin").select("user_id").crossJoin(documents.select("document_id"))
-    own = documents.select(F.col("owner").alias("user_id"), "document_id").join(u.select("user_id"), "user_id")
-    granted = permissions.where(F.col("expires_at").isNull() | (F.col("expires_at") > now)).select("user_id", "document_id").join(u.select("user_id"), "user_id")
-    return wide.union(own.select("user_id", "document_id")).union(granted.select("user_id", "document_id")).distinct()
-
-
 def case_access(account: Column, role: Column, is_member: Column, in_tenant_scope: Column) -> Column:
     """Whether a case is open to a user, by account kind and role."""
     return (

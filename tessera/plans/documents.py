@@ -6,8 +6,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions.stages import shared_folder
 from ..operators import chunking as ch
 from ..operators import dedup as dd
+from ..operators import upserts as up
 from ..sources import files, html
 from ..streaming import jobs
 from .registry import query
@@ -189,7 +191,7 @@ def _(t):
 
 def scratch(t, kind):
     """A folder in the place that driver and executors share."""
-    return f"{files.shared_folder(t.spark)}/{kind}-{uuid.uuid4().hex}"
+    return f"{shared_folder(t.spark)}/{kind}-{uuid.uuid4().hex}"
 
 
 @query("eval_set_source", "SELECT item_id::varchar AS query_id, text AS question FROM benchmark")
@@ -204,4 +206,20 @@ def _(t):
     path, d = scratch(t, "upsert"), t.documents.select("doc_id", "lang")
     files.upsert(t.spark, path, d, "doc_id")
     files.upsert(t.spark, path, d.where("doc_id % 3 = 0").withColumn("lang", F.lit("new")), "doc_id")
-    return files.current(t.spark, path)
+    return files.current(t.spark, path, "doc_id")
+
+
+@query("committed_upsert", """WITH d AS (SELECT doc_id, doc_id % 3 = 0 AS newer, doc_id % 3 = 2 AND doc_id % 5 = 0 AS whole FROM documents)
+ SELECT doc_id * 10 + 1 AS chunk_id, doc_id AS key, 'v1' AS version, NOT newer AS is_latest, true AS has_vector FROM d WHERE NOT whole UNION ALL SELECT doc_id * 10 + 2, doc_id, 'v2', true, doc_id % 2 = 0 FROM d WHERE newer UNION ALL SELECT doc_id * 10 + 3, doc_id, NULL, true, doc_id % 2 = 0 FROM d WHERE whole""")
+def _(t):
+    tables, i = up.store(t.spark, scratch(t, "commits")), F.col("doc_id")
+    said = lambda rows, add: rows.select(i.alias("key"), F.md5(F.concat("text", F.lit(add))).alias("hash"))
+    parts = lambda rows, n, v: rows.select((i * 10 + n).alias("chunk_id"), i.alias("key"), F.lit(v).cast("string").alias("version"), F.lit(True).alias("is_latest"))
+    first, newer, whole = t.documents, t.documents.where("doc_id % 3 = 0"), t.documents.where("doc_id % 3 = 2 AND doc_id % 5 = 0")
+    one = parts(first, 1, "v1")
+    up.upsert(tables, said(first, ""), one, one.select("chunk_id", F.array(F.lit(1.0)).alias("v")))
+    same = t.documents.where("doc_id % 3 = 1 AND doc_id % 2 = 0")  # unchanged: nothing of them is written
+    two = parts(newer, 2, "v2").unionByName(parts(whole, 3, None)).unionByName(parts(same, 4, "v3"))
+    up.upsert(tables, said(newer, "+").unionByName(said(whole, "+")).unionByName(said(same, "")), two, two.where("key % 2 = 0").select("chunk_id", F.array(F.lit(2.0)).alias("v")))
+    held = tables.table("embeddings").select("chunk_id", F.lit(True).alias("has_vector"))
+    return tables.table("chunks").join(held, "chunk_id", "left").fillna(False, ["has_vector"])

@@ -42,14 +42,6 @@ def _(t):
     return t.documents.where(po.contains_all(F.col("text"), F.lit("The and IS "))).select("doc_id")
 
 
-@query("accessible_docs", "WITH u AS (SELECT c_custkey AS u, c_custkey % 100 = 0 AS adm FROM customer WHERE c_acctbal > 0) SELECT u AS user_id, o_orderkey AS document_id FROM u, orders WHERE adm UNION SELECT o_custkey, o_orderkey FROM orders JOIN u ON u = o_custkey  UNION SELECT l_suppkey, l_orderkey FROM lineitem JOIN u ON u = l_suppkey WHERE l_shipdate > TIMESTAMP '1997-01-01'")
-def _(t):
-    users = t.customer.select(F.col("c_custkey").alias("user_id"), (F.col("c_acctbal") > 0).alias("active"), F.when(F.col("c_custkey") % 100 == 0, "admin").alias("role"))
-    docs = t.orders.select(F.col("o_orderkey").alias("document_id"), F.col("o_custkey").alias("owner"))
-    perms = t.lineitem.select(F.col("l_suppkey").alias("user_id"), F.col("l_orderkey").alias("document_id"), F.col("l_shipdate").alias("expires_at"))
-    return po.accessible_documents(users, docs, perms, F.lit("1997-01-01").cast("timestamp"))
-
-
 @query("permission_filter", "SELECT o_custkey AS user_id, o_orderkey AS document_id FROM orders WHERE o_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderpriority LIKE '1%')")
 def _(t):
     o = t.orders.select(F.col("o_custkey").alias("user_id"), F.col("o_orderkey").alias("document_id"), "o_orderpriority")

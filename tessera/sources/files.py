@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from .commits import Change, Tables
+
 SCHEMA = "id long, block int, kind string, text string"
 
 
@@ -209,31 +211,10 @@ def eval_set(spark: SparkSession, path: str) -> DataFrame:
 
 
 def upsert(spark: SparkSession, path: str, rows: DataFrame, key: str) -> None:
-    """Write rows over those of the same key in a Parquet folder: a new version folder, then a pointer to it.
-
-    Readers that hold the old version aren't disturbed; a failed write leaves the pointer alone.
-    """
-    import uuid
-
-    old = current(spark, path)
-    merged = rows if old is None else old.join(rows.select(key), key, "left_anti").unionByName(rows)
-    version = uuid.uuid4().hex
-    merged.write.parquet(f"{path}/{version}")
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").text(f"{path}/_current")
-
-
-def current(spark: SparkSession, path: str) -> DataFrame | None:
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_current")
-    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
-        return None
-    return spark.read.parquet(f"{path}/{spark.read.text(f'{path}/_current').first()[0]}")
-
+    """Write rows over those of the same key: one commit of a table of its own, whole or not at all; of rows of one key any counts."""
+    rows = rows.dropDuplicates([key])
+    Tables(spark, path, {"rows": key}).transact(lambda seen: ({"rows": Change(rows, rows.select(key))}, {}))
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names for driver and executors; a temporary one only in local mode where none is set."""
-    import tempfile
 
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return named or tempfile.mkdtemp(prefix="tessera-")
+def current(spark: SparkSession, path: str, key: str) -> DataFrame | None:
+    return Tables(spark, path, {"rows": key}).table("rows")

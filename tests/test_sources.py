@@ -67,9 +67,9 @@ def test_frames(spark):
 
 def test_upsert_and_eval_set(spark, tmp_path):
     path = str(tmp_path / "t")
-    assert files.current(spark, path) is None
+    assert files.current(spark, path, "k") is None
     files.upsert(spark, path, spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string"), "k")
     files.upsert(spark, path, spark.createDataFrame([(2, "c"), (3, "d")], "k long, v string"), "k")
-    assert sorted(map(tuple, files.current(spark, path).collect())) == [(1, "a"), (2, "c"), (3, "d")]
+    assert sorted(map(tuple, files.current(spark, path, "k").collect())) == [(1, "a"), (2, "c"), (3, "d")]
     (tmp_path / "e.jsonl").write_text('{"query_id": "1", "question": "q", "expected_ids": ["a"]}\nbroken\n')
     assert [r.question for r in files.eval_set(spark, str(tmp_path / "e.jsonl")).collect()] == ["q"]
