@@ -114,8 +114,8 @@ def token_count(text: Column) -> Column:
 
 def simple_sentences(text: Column) -> Column:
     """Runs up to ., ! or ? with their marks, trimmed, none empty; lines where there are none."""
-    found = F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"[^.!?]+(?:[.!?]+|$)"), F.lit(0)), F.trim), lambda s: s != "")
-    return F.when(F.size(found) > 0, found).otherwise(F.filter(F.transform(F.split(text, "\n"), F.trim), lambda s: s != ""))
+    found = F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"[^.!?]+(?:[.!?]+|$)"), F.lit(0)), lambda s: F.trim(s)), lambda s: s != "")
+    return F.when(F.size(found) > 0, found).otherwise(F.filter(F.transform(F.split(text, "\n"), lambda s: F.trim(s)), lambda s: s != ""))
 
 
 def sentences(text: Column) -> Column:
@@ -148,8 +148,8 @@ def reference_ids(text: Column) -> Column:
 
 def key_points(text: Column, least: int = 3, most: int = 5) -> Column:
     """Sentences of over ten characters, five at most; if under three, other lines up to three, then the last (or the text's start) again."""
-    long = F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), F.trim), lambda s: F.length(s) > 10)
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda s: s != "")
+    long = F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), lambda s: F.trim(s)), lambda s: F.length(s) > 10)
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda s: F.trim(s)), lambda s: s != "")
     more = F.slice(F.array_except(lines, long), 1, F.greatest(F.lit(0), least - F.size(long)))
     found = F.slice(F.concat(long, more), 1, most)
     last = F.coalesce(F.get(found, F.size(found) - 1), F.substring(text, 1, 50))

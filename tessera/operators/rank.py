@@ -81,52 +81,24 @@ def overlap(a, b) -> float:
     return len(a & b) / len(a | b) if a | b else 0.0
 
 
-def mmr(candidates: DataFrame, k: int, strength: float = 0.3) -> DataFrame:
-    """query_id, id, rank: greedy marginal relevance of at most a pool of rows a query.
+def pooled(candidates: DataFrame, pool: int) -> DataFrame:
+    """The best `pool` rows of a query: what a greedy choice works on in one task."""
+    return candidates.withColumn("_p", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("_p") <= pool).drop("_p")
+
+
+def mmr(candidates: DataFrame, k: int, strength: float = 0.3, pool: int = 200) -> DataFrame:
+    """query_id, id, rank: greedy marginal relevance of the best `pool` rows of a query.
 
     candidates: query_id, id, doc, score, tokens (a set). Rows of one document don't repel.
     """
     penalty = lambda a, b: 0.0 if a["doc"] == b["doc"] else overlap(a["tokens"], b["tokens"])
-    return candidates.groupBy("query_id").applyInPandas(lambda p: _mmr(p, k, 1 - strength, penalty), "query_id long, id long, rank int")
+    return pooled(candidates, pool).groupBy("query_id").applyInPandas(lambda p: _mmr(p, k, 1 - strength, penalty), "query_id long, id long, rank int")
 
 
-def mmr_light(candidates: DataFrame, k: int) -> DataFrame:
+def mmr_light(candidates: DataFrame, k: int, pool: int = 200) -> DataFrame:
     """The web form: 0.7 of the score, less 0.3 of the largest overlap, 0.85 at least on one host."""
     penalty = lambda a, b: max(overlap(a["tokens"], b["tokens"]), 0.85 if a["host"] == b["host"] else 0.0)
-    return candidates.groupBy("query_id").applyInPandas(lambda p: _mmr(p, k, 0.7, penalty), "query_id long, id long, rank int")
-
-
-def passages(chunks: DataFrame, most: int = 450) -> DataFrame:
-    """query_id, passage_id, ids, score: greedy by score, with adjacent chunks of the section within a budget.
-
-    chunks: query_id, id, doc, section, ord, score, tokens, n (their retrieval order). A chunk
-    that is too long is left out and the next one tried.
-    """
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n"])
-        beside: dict = {}
-        for _, g in pdf.sort_values(["ord", "n"]).groupby(["doc", "section"], sort=False):
-            ids = g["id"].tolist()
-            for a, b in zip(ids, ids[1:]):
-                beside.setdefault(a, []).append(b)
-                beside.setdefault(b, []).append(a)
-        row, used, out = pdf.set_index("id").to_dict("index"), set(), []
-        for i in sorted(row, key=lambda i: (-row[i]["score"], i)):
-            if i in used:
-                continue
-            used.add(i)
-            took, left = [i], most - row[i]["tokens"]
-            for j in sorted((j for j in beside.get(i, []) if j not in used), key=lambda j: row[j]["n"]):
-                if 0 < left and row[j]["tokens"] <= left:
-                    took.append(j)
-                    used.add(j)
-                    left -= row[j]["tokens"]
-            took.sort(key=lambda j: row[j]["n"])
-            out.append({"query_id": pdf["query_id"].iloc[0], "passage_id": i, "ids": took, "score": max(row[j]["score"] for j in took)})
-        return pd.DataFrame(out)
-
-    return chunks.groupBy("query_id").applyInPandas(one, "query_id long, passage_id long, ids array<long>, score double")
+    return pooled(candidates, pool).groupBy("query_id").applyInPandas(lambda p: _mmr(p, k, 0.7, penalty), "query_id long, id long, rank int")
 
 
 def within_budget(snippets: DataFrame, budget: int = 1800) -> DataFrame:

@@ -180,12 +180,6 @@ def _(t):
     return rk.mmr_light(tokenized(t).select("query_id", "id", "host", "score", "tokens"), 4)
 
 
-@query("passage_assembly")
-def _(t):
-    m = matches(t).withColumn("tokens", tx.tokens_quarter(F.col("text"))).withColumn("n", F.col("id"))
-    return rk.passages(m.select("query_id", "id", "doc", "section", "ord", "score", "tokens", "n"), 120)
-
-
 @query("context_budget", "SELECT * FROM (SELECT conv_id AS query_id, turn AS rank, greatest(1, length(text) // 4)::int AS tokens, sum(greatest(1, length(text) // 4)::int) OVER (PARTITION BY conv_id ORDER BY turn)::bigint AS used_tokens FROM conversations WHERE length(text) > 0) WHERE used_tokens <= 100")
 def _(t):
     s = t.conversations.where("length(text) > 0").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("rank"), tx.tokens_quarter(F.col("text")).alias("tokens"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
 from tessera.operators import chunking as ch
+from tessera.operators import context as cx
 from tessera.operators import dedup as dd
 from tessera.operators import evaluate as ev
 from tessera.operators import policy as po
@@ -51,7 +52,7 @@ def test_mmr_and_passages(spark):
     df = spark.createDataFrame(rows, "query_id long, id long, doc long, score double, tokens array<string>, host string")
     assert [r.id for r in rk.mmr(df, 3, 0.5).orderBy("rank").collect()] == [0, 2, 3]
     chunks = spark.createDataFrame([(1, i, 1, "s", i, [0.2, 0.9, 0.3, 0.1][i], 40, i) for i in range(4)], "query_id long, id long, doc long, section string, ord long, score double, tokens int, n long")
-    got = [(r.passage_id, r.ids) for r in rk.passages(chunks, 90).orderBy(F.desc("score")).collect()]
+    got = [(r.passage_id, r.ids) for r in cx.passages(chunks.withColumn("text", F.lit("t")), 90).orderBy(F.desc("score")).collect()]
     assert got == [(1, [0, 1]), (2, [2, 3])]
 
 
