@@ -26,13 +26,15 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.core.broadcast import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import arrow_rows
+from .shared import arrow_rows, written
 
 KEPT = frozenset(range(0x30, 0x3A)) | frozenset(range(0x61, 0x7B)) | frozenset(range(0x80, 0x100))
 SPACED = bytes(c if c in KEPT else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
@@ -218,26 +220,73 @@ def scan(texts: list[str | None], windows: list[Windows], shard_words: int) -> I
         yield from flush()
 
 
-def blocks_of(benchmark: DataFrame, width: int, block_words: int) -> list:
-    """Broadcasts of the items, each of about block_words words at most."""
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
-    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = 1 + size // (6 * block_words)
-    sc = benchmark.sparkSession.sparkContext
-    return [sc.broadcast(Windows.of([tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).collect()], width)) for k in range(n)]
+def blocks_of(benchmark: DataFrame, width: int, block_words: int) -> Iterator[Broadcast]:
+    """Broadcasts of the items, one after another: each of about block_words words at most, counted first, and gone when the next is asked for.
 
+    Items are dealt by a hash of id and text, so that equal or null ids don't meet in one block; an item is never split.
+    """
+    items, n = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text"), block_count(benchmark, block_words)
+    for k in range(n):
+        sent = benchmark.sparkSession.sparkContext.broadcast(Windows.of([tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()], width))
+        yield sent
+        if n > 1:
+            sent.destroy()
 
-def passages(docs: DataFrame, benchmark: DataFrame, width: int = 10, shard_words: int = 1 << 20, block_words: int = 2_000_000) -> DataFrame:
-    """doc_id, n_words, spans (first and end word of each removal span), items of every document."""
-    blocks = blocks_of(benchmark, width, block_words)
+
+def block_count(benchmark: DataFrame, block_words: int) -> int:
+    return 1 + (benchmark.agg(F.sum(F.length("text"))).first()[0] or 0) // (6 * block_words)
+
+
+FOUND = "doc_id long, n_words long, spans array<struct<first: long, end: long>>, items array<string>"
+
+
+def found_in(docs: DataFrame, sent: Broadcast, shard_words: int) -> DataFrame:
+    """doc_id, n_words, spans and items of every document by the windows of one block, and whatever other columns docs have."""
+    more = [c for c in docs.columns if c not in ("doc_id", "text")]
+    kinds = "".join(f", {c} {dict(docs.dtypes)[c]}" for c in more)
 
     def rows(batches: Iterator[dict]) -> Iterator[dict]:
-        windows = [b.value for b in blocks]
+        windows = [sent.value]
         for b in batches:
             found = list(scan(b["text"], windows, shard_words))
-            yield {"doc_id": b["doc_id"], "n_words": [n for n, _, _ in found], "spans": [[{"first": f, "end": e} for f, e in s] for _, s, _ in found], "items": [i for _, _, i in found]}
+            yield {"doc_id": b["doc_id"], "n_words": [n for n, _, _ in found], "spans": [[{"first": f, "end": e} for f, e in s] for _, s, _ in found], "items": [i for _, _, i in found]} | {c: b[c] for c in more}
+
+    return arrow_rows(docs, rows, FOUND + kinds)
+
+
+def merged_spans(spans: Column) -> Column:
+    """Spans in order, those that touch as one."""
+
+    def add(out: Column, s: Column) -> Column:
+        last = F.element_at(out, -1)
+        longer = F.struct(last["first"].alias("first"), F.greatest(last["end"], s["end"]).alias("end"))
+        return F.when(F.size(out) == 0, F.array(s)).when(s["first"] <= last["end"], F.concat(F.slice(out, 1, F.size(out) - 1), F.array(longer))).otherwise(F.concat(out, F.array(s)))
+
+    return F.aggregate(F.array_sort(spans), F.array().cast("array<struct<first: bigint, end: bigint>>"), add)
+
+
+def passages(docs: DataFrame, benchmark: DataFrame, width: int = 10, shard_words: int = 1 << 20, block_words: int = 2_000_000) -> DataFrame:
+    """doc_id, n_words, spans (first and end word of each removal span), items of every document.
+
+    A benchmark of more than block_words words is gone through block by block: each block has a
+    pass over the documents of its own, and what it finds is written before the next is sent.
+    Rows of one doc_id and text are one document to it, with the same result.
+    """
+    docs = docs.select("doc_id", "text")
+    if block_count(benchmark, block_words) == 1:
+        return found_in(docs, next(blocks_of(benchmark, width, block_words)), shard_words)
+    first, hits = by_blocks(docs, benchmark, width, shard_words, block_words)
+    out = first.join(hits, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("key").eqNullSafe(F.col("k")), "left")
+    return out.select("doc_id", "n_words", F.coalesce("s", F.array().cast("array<struct<first: bigint, end: bigint>>")).alias("spans"), F.coalesce("i", F.array().cast("array<string>")).alias("items"))
+
 
-    return arrow_rows(docs.select("doc_id", "text"), rows, "doc_id long, n_words long, spans array<struct<first: long, end: long>>, items array<string>")
+def by_blocks(docs: DataFrame, benchmark: DataFrame, width: int, shard_words: int, block_words: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, key and n_words of every document; and of those with passages d, k (its id and key), s (spans), i (items)."""
+    keyed = docs.withColumn("key", F.sha2(F.col("text"), 256))
+    parts = [written(found_in(keyed, sent, shard_words), "passages") for sent in blocks_of(benchmark, width, block_words)]
+    hits = reduce(DataFrame.unionAll, [p.where(F.size("spans") > 0) for p in parts]).dropDuplicates(["doc_id", "key", "spans", "items"])
+    whole = hits.groupBy(F.col("doc_id").alias("d"), F.col("key").alias("k")).agg(merged_spans(F.flatten(F.collect_list("spans"))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("i"))
+    return parts[0].select("doc_id", "key", "n_words"), whole
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -261,21 +310,31 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
 
 def clean(docs: DataFrame, benchmark: DataFrame, width: int = 10, shard_words: int = 1 << 20, block_words: int = 2_000_000) -> DataFrame:
     """The documents with removal spans cut from their texts; all rows and columns stay, n_chars (if there) is counted anew."""
-    blocks = blocks_of(benchmark, width, block_words)
     at, counted = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+    if block_count(benchmark, block_words) == 1:
+        sent, taken = next(blocks_of(benchmark, width, block_words)), docs
+    else:
+        _, hits = by_blocks(docs.select("doc_id", "text"), benchmark, width, shard_words, block_words)
+        own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+        taken = own.join(hits, F.col("row.doc_id").eqNullSafe(F.col("d")) & F.sha2(F.col("row.text"), 256).eqNullSafe(F.col("k")), "left").select("row.*", F.col("s").alias("removal_spans"))
+        sent = None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = [b.value for b in blocks]
         for b in batches:
             texts = b.column(at).to_pylist()
-            cleaned = [without(t, s) if s else t for t, (_, s, _) in zip(texts, scan(texts, windows, shard_words))]
+            if sent is not None:
+                spans = [s for _, s, _ in scan(texts, [sent.value], shard_words)]
+            else:
+                spans = [[(x["first"], x["end"]) for x in s or []] for s in b.column(b.num_columns - 1).to_pylist()]
+                b = pa.RecordBatch.from_arrays(b.columns[:-1], schema=pa.schema(list(b.schema)[:-1]))
+            cleaned = [without(t, s) if s else t for t, s in zip(texts, spans)]
             new = b.set_column(at, b.schema.field(at), pa.array(cleaned, b.schema.field(at).type))
             if counted is not None:
                 lengths = [len(c) if c is not t else n for c, t, n in zip(cleaned, texts, b.column(counted).to_pylist())]
                 new = new.set_column(counted, b.schema.field(counted), pa.array(lengths, b.schema.field(counted).type))
             yield new
 
-    return docs.mapInArrow(run, docs.schema)
+    return taken.mapInArrow(run, docs.schema)
 
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

@@ -171,17 +171,24 @@ def document(content: bytes, at: int, end: int, width: int, dictionary: bytes) -
 def write_tokens(docs: DataFrame, model: str = WORD_MODEL, end_id: int = 1, sample_docs: int = 1500, sample_chars: int = 16_384, dictionary_bytes: int = 65_536, level: int = 3, container_bytes: int = 4 << 20) -> TokenFiles:
     """Encode, compress and write every whole text in ascending doc_id order.
 
-    The dictionary is trained on about `sample_docs` documents of at most `sample_chars`
-    characters, chosen by a hash of their ids. Frames, not texts, are shuffled: each goes to
+    The dictionary is trained in one task on `sample_docs` documents at most, of at most
+    `sample_chars` characters, those with the least hash of id and text. Frames, not texts, are shuffled: each goes to
     its doc_id range, of which there are as many as shuffle partitions.
     """
     spark, docs = docs.sparkSession, docs.select(F.col("doc_id").cast("long"), "text")
     ranges = shuffle_width(spark)
     places = F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 10_000) if ranges > 1 else F.lit(None)
     n, cuts = docs.agg(F.count("*"), places).first()  # reads doc_ids only
-    every, cuts = max(1, n // sample_docs), sorted(set(cuts or []))
-    sample = docs.where((F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0) & (F.length("text") <= sample_chars)).select("text")
-    dictionary = train([word_table(model).serialized(r.text, end_id) for r in sample.collect()], dictionary_bytes)
+    every, cuts = max(1, n // (4 * sample_docs)), sorted(set(cuts or []))
+    hashed = docs.where(F.length("text") <= sample_chars).select(F.xxhash64("doc_id", "text").alias("h"), "text")
+    sample = hashed.where(F.pmod("h", F.lit(every)) == 0).orderBy("h", "text").limit(sample_docs)  # few rows come to the sort, however many a table has
+
+    def trained(batches: Iterator[dict]) -> Iterator[dict]:
+        texts = sorted(t for b in batches for t in b["text"])
+        yield {"dictionary": [train([word_table(model).serialized(t, end_id) for t in texts], dictionary_bytes)]}
+
+    dictionary = arrow_rows(sample.select("text").repartition(1), trained, "dictionary binary").first()
+    dictionary = bytes(dictionary.dictionary) if dictionary else train([], dictionary_bytes)
     width, digest = word_table(model).width, hashlib.sha256(dictionary).digest()
 
     def frames(batches: Iterator[dict]) -> Iterator[dict]:

@@ -161,8 +161,8 @@ class WordRows(dict):
         return row
 
 
-def train(texts: list[str], labels: list[int], seed: int = 7, epochs: int = 8, batch: int = 128, rate: float = 0.01, most: int = 30_000, least: int = 4) -> Network:
-    """The network for a sample of texts (labels 0 or 1)."""
+def train(texts: list[str], labels: list[int], seed: int = 7, epochs: int = 8, least_steps: int = 240, batch: int = 128, rate: float = 0.01, most: int = 30_000, least: int = 4) -> Network:
+    """The network for a sample of texts (labels 0 or 1). A small sample is gone through more often, until there are least_steps steps."""
     if len({*labels}) < 2:
         return Network({}, {}, constant=float(np.mean(labels)) if labels else 0.5)
     rng, y = np.random.default_rng(seed), np.array(labels, np.float32)
@@ -193,6 +193,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7, epochs: int = 8, b
     ids = np.concatenate(parts)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     step = 0
+    epochs = max(epochs, -(-least_steps // -(-(len(docs) + int((y == 0).sum())) // batch))) if epochs else 0
     for epoch in range(epochs):
         scores = logits(net, ids, net.project(net.inputs(rows)))
         best = np.array([a + int(np.argmax(scores[a:b])) for a, b in zip(first[:-1], first[1:])])

@@ -79,3 +79,29 @@ def test_tables_against_sql(spark):
     assert got.columns == [d[0] for d in q.description]
     want = q.fetchall()
     assert sorted(map(tuple, got.collect())) == sorted(want) and any(r[5] for r in want)
+
+
+def test_blocks_are_sent_one_at_a_time(spark, monkeypatch):
+    docs, items = corpus(7)
+    rows = [(i, t, "k", len(t or "")) for i, t in enumerate(docs)] + [(0, docs[0], "again", 1), (None, docs[1], "no id", 1), (None, docs[2], "no id", 1), (77, None, "null", 0), (78, " ".join(t or "" for t in docs) * 30, "long", 1)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, removal string, n_chars int")
+    b = spark.createDataFrame([*items, (None, items[0][1]), (None, docs[1]), (5, None), (5, docs[2])], "item_id long, text string")
+    alive, most, real = set(), [], dc.Windows.of
+
+    def of(*a):
+        alive.add(len(most))
+        most.append(len(alive))
+        return real(*a)
+
+    monkeypatch.setattr(dc.Windows, "of", staticmethod(of))
+    from pyspark.core.broadcast import Broadcast
+
+    gone = Broadcast.destroy
+    monkeypatch.setattr(Broadcast, "destroy", lambda self, *a: (alive and alive.pop(), gone(self, *a))[1])
+    few = sorted(map(str, dc.passages(d, b, 5, block_words=10).collect()))
+    assert len(most) > 3 and max(most) == 1
+    cut = sorted(map(str, dc.clean(d, b, 5, block_words=10).collect()))
+    monkeypatch.undo()
+    assert few == sorted(map(str, dc.passages(d, b, 5).collect())) and any("end=" in r for r in few)
+    assert cut == sorted(map(str, dc.clean(d, b, 5).collect()))
+    assert dc.clean(d, b, 5, block_words=10).columns == d.columns

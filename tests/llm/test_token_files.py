@@ -51,3 +51,13 @@ def test_words_of_documents():
 def test_letters_that_the_normalizer_takes_apart():
     for word in ("İ.", "\u0958.", "ab\u0958!", "\ufb1d.", "a\u0307?", "\u0344;", "é.", "9,"):
         assert np.frombuffer(tf.word_table(WORD_MODEL).serialized(word, 1), "<u2").tolist() == ids(word), word
+
+
+def test_the_sample_is_bounded_whatever_the_ids(spark):
+    rows = [(None, f"text {i} of no id " * 3) for i in range(500)] + [(7, "same row")] * 500 + [(i, "word " * 30_000) for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    files = tf.write_tokens(df, sample_docs=20)
+    got = tf.read_tokens(files, with_ids=True).collect()
+    assert len(got) == len(rows) and sum(r.doc_id is None for r in got) == 500
+    assert sorted(r.n_tokens for r in got)[-1] > 30_000
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(sorted(got, key=lambda r: r.start), sorted(got, key=lambda r: r.start)[1:]))

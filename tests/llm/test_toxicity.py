@@ -87,3 +87,23 @@ def test_passages_of_half_a_window_lie_whole_in_one():
     for n in (17, 32, 33, 56, 57, 100, 500):
         for at in range(n - tx.WINDOW // 2):
             assert any(s <= at and at + tx.WINDOW // 2 < s + tx.WINDOW for s in tx.windows(n))
+
+
+def test_a_small_sample_is_learnt_long_enough(spark):
+    """sf0.01 has 280 rows to learn from: what is held out is found at the threshold all the same."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rows = tx.toxicity(docs, labels).join(labels, "doc_id").where("held_out").collect()
+    hit = sum(r.predicted and r.toxic for r in rows)
+    assert hit / sum(r.predicted for r in rows) >= 0.9 and hit / sum(r.toxic for r in rows) >= 0.75
+
+
+def test_repeated_rows_and_labels_that_disagree(spark):
+    rows = corpus(300, 5)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(i, t) for i, t, _ in rows[:50]] + [(3, "another text of the same id"), (400, "nasty " * 30_000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(i, 1 - y) for i, _, y in rows[:20]], "doc_id long, toxic int")
+    got = tx.toxicity(docs, labels).collect()
+    assert len(got) == 352 and {r.doc_id: r.predicted for r in got}[400] == 1
+    twice = {}
+    for r in got:
+        twice.setdefault(r.doc_id, []).append(r.score)
+    assert all(max(s) - min(s) < 1e-5 for i, s in twice.items() if i != 3)
