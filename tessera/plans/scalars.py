@@ -21,7 +21,7 @@ def q(parts: str) -> str:
 @query(
     "url_canonical",
     f"""SELECT page_id,
-      {SCHEME} || '://' || {HOST} || CASE WHEN rtrim({PATH}, '/') = '' THEN '/' ELSE rtrim({PATH}, '/') END || {q(f'list_sort(list_filter({PARAMS}, lambda p: NOT {TRACKS}))')} AS canonical,
+      {SCHEME} || '://' || {HOST} || CASE WHEN {PATH} = '' THEN '/' ELSE {PATH} END || {q(f'list_sort(list_filter({PARAMS}, lambda p: NOT {TRACKS}))')} AS canonical,
       {SCHEME} || '://' || {HOST} || {PATH} || {q(f'list_sort({PARAMS})')} AS normalized,
       {SCHEME} || '://' || {HOST} || {PATH} || {q(f"list_filter({PARAMS}, lambda p: NOT {TRACKS} AND contains(p, '=') AND split_part(p, '=', 2) <> '')")} AS cleaned FROM pages""",
 )
@@ -190,3 +190,18 @@ def _(t):
     d = c.select("conv_id", (F.col("turn") - 1).alias("turn"), dedup_tokens(F.col("text")).alias("b"))
     both = c.select("conv_id", "turn", dedup_tokens(F.col("text")).alias("a")).join(d, ["conv_id", "turn"]).where("size(a) > 0 AND size(b) > 0")
     return both.select("conv_id", "turn", F.round(vectors.jaccard(F.col("a"), F.col("b")), 9).alias("jaccard"), F.round(vectors.set_cosine(F.col("a"), F.col("b")), 9).alias("cosine"))
+
+
+@query("provider_records", f"""SELECT page_id, 'web' AS provider, c AS canonical_source, CASE WHEN length('web::' || c) <= 60 THEN 'web::' || c ELSE 'web::' || sha1(c) END AS external_id, h AS host, 'https' AS scheme FROM
+ (SELECT page_id, {HOST} AS h, CASE page_id % 4 WHEN 0 THEN NULL ELSE 'https://' || CASE WHEN page_id % 4 = 3 THEN 'xn--bcher-kva.' ELSE '' END || {HOST} || CASE WHEN page_id % 2 = 0 THEN ':8443' ELSE '' END || '/p/' || page_id % 7 || '/r' || CASE WHEN page_id % 3 = 0 THEN '/' ELSE '' END || '?A=' || page_id || '&a=+x&b=2' END AS c FROM pages) WHERE c IS NOT NULL
+ UNION ALL SELECT page_id, 'web', NULL, NULL, '', 'ftp' FROM pages WHERE page_id % 4 = 0""")
+def _(t):
+    i = F.col("page_id")
+    host = urls.host(F.col("url"))
+    made = F.concat(
+        F.lit(" HTTPS://me:pw@"), F.when(i % 4 == 3, "Bücher.").otherwise(""), F.upper(host), F.when(i % 2 == 0, ":8443").otherwise(":443"), F.lit("/p//"), i % 7, F.lit("/./q/../r"), F.when(i % 3 == 0, "/").otherwise(""),
+        F.lit("?b=2&A="), i, F.lit("&utm_x=1&fbclid=2&a=%20x#part"),
+    )
+    url = F.when(i % 4 == 0, F.lit("ftp:///none")).otherwise(made)
+    r = t.pages.select("page_id", urls.provider_record(F.lit(" Web "), url, 60).alias("r"), host.alias("h"))
+    return r.select("page_id", "r.provider", "r.canonical_source", "r.external_id", F.when(i % 4 == 3, F.replace(F.col("r.tags")["host"], F.lit("bücher."), F.lit(""))).otherwise(F.col("r.tags")["host"]).alias("host"), F.col("r.tags")["scheme"].alias("scheme"))
