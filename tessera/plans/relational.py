@@ -145,11 +145,6 @@ def _(t):
     return t.conversations.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda s: s["text"]), "\n").alias("joined"), F.count("*").alias("n"))
 
 
-@query("document_groups", "SELECT coalesce(nullif(lang, 'en'), md5(text)) AS k, source, count(*) AS n FROM documents GROUP BY ALL")
-def _(t):
-    return t.documents.groupBy(F.coalesce(F.nullif(F.col("lang"), F.lit("en")), F.md5("text")).alias("k"), "source").agg(F.count("*").alias("n"))
-
-
 @query("ingestion_totals", "SELECT event_type, count(*) AS runs, round(sum(value), 4) AS chunks FROM events GROUP BY 1")
 def _(t):
     return t.events.groupBy("event_type").agg(F.count("*").alias("runs"), F.round(F.sum("value"), 4).alias("chunks"))
