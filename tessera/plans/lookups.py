@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import pii
 from ..operators import lookups as lk
 from ..sources import files
+from ..streaming import timers
+from .documents import scratch, stream
 from .registry import query
 
 NOW = "TIMESTAMP '2024-06-01 00:00:00'"
@@ -168,3 +170,25 @@ def _(t):
     f = d.select(key.alias("id"), F.when(key % 2 == 0, "text/plain").otherwise("image/any").alias("media_type"), F.when(key % 2 == 0, text).otherwise(magic).alias("content"))
     texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "text"))), lambda b: b["text"]), "\n")
     return files.parse(f).groupBy(F.col("id").alias("doc_id"), "kind").agg(texts.alias("texts"))
+
+
+ALERTS = """WITH s AS (SELECT n_nationkey AS search_id, CASE n_nationkey % 3 WHEN 0 THEN 3600000 WHEN 1 THEN 86400000 ELSE 604800000 END AS every, CASE WHEN n_nationkey % 2 = 0 THEN 'click' ELSE '' END AS source, CASE WHEN n_nationkey % 5 <> 0 THEN 'k": ' || n_nationkey % 7 ELSE '' END AS q FROM nation WHERE n_nationkey % 6 <> 0),
+ e AS (SELECT event_id, event_type, props, epoch_ms(ts) AS ms FROM events), m AS (SELECT search_id, event_id, ms, (ms // every + 1) * every AS due FROM s JOIN e ON (source = '' OR source = event_type) AND contains(lower(props), q))
+ SELECT search_id, due::bigint AS run_at_ms, count(*) AS matches, (list(event_id ORDER BY ms, event_id))[1:50] AS documents FROM m WHERE due < (SELECT max(ms) FROM e) GROUP BY search_id, due"""
+
+
+@query("stream_alerts", ALERTS)
+def _(t):
+    n = F.col("n_nationkey")
+    searches = t.nation.select(
+        n.alias("search_id"), (n % 6 != 0).alias("enabled"), F.when(n % 5 != 0, F.concat(F.lit('K": '), n % 7)).alias("query"), F.when(n % 3 == 0, "hourly").when(n % 3 == 1, "daily").otherwise("weekly").alias("frequency"), F.when(n % 2 == 0, "click").otherwise(" ").alias("source"),
+    ).withColumn("source", F.trim("source"))
+    events = stream(t).select(F.col("event_id").alias("document"), F.col("ts").alias("updated_at"), F.col("props").alias("text"), F.col("event_type").alias("source"))
+    return timers.run(timers.alerts(events, searches), scratch(t, "alerts"))
+
+
+@query("stream_sweeps", """WITH e AS (SELECT event_type AS queue, (epoch_ms(ts) + 86400000) // 7200000 * 7200000 + 7200000 AS due FROM events), l AS (SELECT max(epoch_ms(ts)) AS m FROM events),
+ n AS (SELECT queue, due, count(*) AS removed FROM e GROUP BY ALL) SELECT queue, due::bigint AS swept_at_ms, removed, (sum(removed) OVER (PARTITION BY queue) - sum(removed) OVER (PARTITION BY queue ORDER BY due))::bigint AS kept, sum(removed) OVER (PARTITION BY queue) - sum(removed) OVER (PARTITION BY queue ORDER BY due) > 100 AS alert FROM n QUALIFY due < (SELECT m FROM l)""")
+def _(t):
+    letters = stream(t).select(F.col("event_type").alias("queue"), F.col("ts").alias("at"))
+    return timers.run(timers.sweeps(letters, ttl=86_400, every=7200, alert=100), scratch(t, "sweeps"))
