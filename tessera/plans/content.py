@@ -80,12 +80,6 @@ def _(t):
     return co.document_radius(t.documents.select(F.col("source").alias("query_id"), F.col("doc_id").alias("id"), F.col("lang").alias("doc"), F.col("doc_id").alias("rank")), 2)
 
 
-@query("prefix_coverage", "SELECT lang, count(*) AS n, count(*) FILTER (WHERE starts_with(text, 'The')) AS prefixed, round(count(*) FILTER (WHERE starts_with(text, 'The')) / count(*), 6)::double AS share FROM documents GROUP BY lang")
-def _(t):
-    p = F.count_if(F.col("text").startswith("The"))
-    return t.documents.groupBy("lang").agg(F.count("*").alias("n"), p.alias("prefixed"), F.round(p / F.count("*"), 6).alias("share"))
-
-
 @query("retrieval_meta", "SELECT user_id, count(*) AS searches, round(sum(value), 4) AS took, max(event_id) AS last_id FROM events GROUP BY user_id")
 def _(t):
     return t.events.groupBy("user_id").agg(F.count("*").alias("searches"), F.round(F.sum("value"), 4).alias("took"), F.max("event_id").alias("last_id"))
@@ -119,15 +113,3 @@ def _(t):
 
     first = F.min("page_id").over(Window.partitionBy(urls.host(F.col("url"))))
     return t.pages.select("page_id", F.nullif(first, F.col("page_id")).alias("duplicate_of"))
-
-
-@query("recommended_ingest", "SELECT doc_id, source FROM documents JOIN labels USING (doc_id) WHERE quality = 1 AND toxic = 0 AND n_chars >= 500")
-def _(t):
-    good = t.labels.where("quality = 1 AND toxic = 0").select("doc_id")
-    return t.documents.where("n_chars >= 500").join(good, "doc_id").select("doc_id", "source")
-
-
-@query("coverage_delta", "SELECT lang, avg((contains(lower(text), 'the'))::int) < 0.9 AND max((contains(lower(text), 'the'))::int) >= 0.2 AS closes_gap FROM documents GROUP BY lang")
-def _(t):
-    x = F.contains(F.lower("text"), F.lit("the")).cast("int")
-    return t.documents.groupBy("lang").agg(((F.avg(x) < 0.9) & (F.max(x) >= 0.2)).alias("closes_gap"))

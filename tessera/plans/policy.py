@@ -129,11 +129,6 @@ def _(t):
     return t.events.select("event_id", po.expired_letters(payload, F.lit(5000.0), 3600).alias("expired"))
 
 
-@query("contract_errors", "SELECT doc_id, CASE WHEN length(text) > 256 THEN ['title'] ELSE []::varchar[] END AS errors FROM documents")
-def _(t):
-    return t.documents.select("doc_id", po.contract_errors(F.col("text"), F.array(F.col("lang")), F.col("lang"), F.lit("text/plain")).alias("errors"))
-
-
 @query("upsert_decision", "WITH s AS (SELECT doc_id AS key, CASE WHEN doc_id % 3 = 0 THEN md5(text || '!') ELSE md5(text) END AS h FROM documents WHERE doc_id % 2 = 0), held AS (SELECT h, min(key) AS holder FROM s GROUP BY h) SELECT d.doc_id AS key, CASE WHEN s.h = md5(d.text) THEN 'skipped' WHEN s.h IS NOT NULL THEN 'replaced' WHEN holder IS NOT NULL THEN 'linked' WHEN d.doc_id % 11 = 0 THEN CASE WHEN d.doc_id % 22 = 0 THEN 'near_duplicate_replaced' ELSE 'near_duplicate_skipped' END ELSE 'inserted' END AS action FROM documents d LEFT JOIN s ON s.key = d.doc_id LEFT JOIN held ON held.h = md5(d.text)")
 def _(t):
     new = t.documents.select(F.col("doc_id").alias("key"), F.md5("text").alias("hash"))

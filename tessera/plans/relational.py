@@ -105,11 +105,6 @@ def _(t):
     return t.lineitem.groupBy("l_orderkey").agg((F.max("l_linenumber") + 1).alias("next_sequence"))
 
 
-@query("label_sequence", "SELECT l_orderkey, l_returnflag, count(*) + 1 AS next_label FROM lineitem GROUP BY ALL")
-def _(t):
-    return t.lineitem.groupBy("l_orderkey", "l_returnflag").agg((F.count("*") + 1).alias("next_label"))
-
-
 @query("feature_summary", "SELECT 'quality' AS feature, round(min(quality), 6)::double AS least, round(max(quality), 6)::double AS most, round(avg(quality), 6) AS mean FROM labels UNION ALL SELECT 'toxic', min(toxic)::double, max(toxic)::double, round(avg(toxic), 6) FROM labels")
 def _(t):
     return rel.feature_summary(t.labels, ["quality", "toxic"])
@@ -140,11 +135,6 @@ def _(t):
     return rel.coverage(lines, t.documents.select("doc_id", F.col("n_chars").alias("total")), "doc_id")
 
 
-@query("grouped_matches", "SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS joined, count(*) AS n FROM conversations GROUP BY conv_id")
-def _(t):
-    return t.conversations.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda s: s["text"]), "\n").alias("joined"), F.count("*").alias("n"))
-
-
 @query("ingestion_totals", "SELECT event_type, count(*) AS runs, round(sum(value), 4) AS chunks FROM events GROUP BY 1")
 def _(t):
     return t.events.groupBy("event_type").agg(F.count("*").alias("runs"), F.round(F.sum("value"), 4).alias("chunks"))
@@ -155,11 +145,6 @@ def _(t):
     return t.events.groupBy("event_type").agg(F.round(F.percentile("value", 0.5), 6).alias("p50"), F.round(F.percentile("value", 0.95), 6).alias("p95"))
 
 
-@query("eval_cases", "SELECT user_id, list_sort(list(DISTINCT event_type)) AS kinds FROM events GROUP BY 1")
-def _(t):
-    return t.events.groupBy("user_id").agg(F.array_sort(F.collect_set("event_type")).alias("kinds"))
-
-
 @query("primary_document", "SELECT conv_id, arg_min(role, turn) AS doc FROM (SELECT conv_id, role, turn, count(*) OVER (PARTITION BY conv_id, role) AS n FROM conversations WHERE turn < 5) WHERE n >= 2 GROUP BY conv_id")
 def _(t):
     c = t.conversations.where("turn < 5").withColumn("n", F.count("*").over(Window.partitionBy("conv_id", "role")))

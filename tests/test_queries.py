@@ -7,7 +7,7 @@ import pytest
 
 from tessera.plans import registry
 
-for module in ("access", "content", "documents", "lookups", "merging", "policy", "relational", "retrieval", "scalars", "scoped", "search", "text"):
+for module in ("access", "assessment", "content", "documents", "lookups", "merging", "policy", "relational", "retrieval", "scalars", "scoped", "search", "text"):
     importlib.import_module(f"tessera.plans.{module}")
 
 SF = "/root/testdata/sf0.001"
