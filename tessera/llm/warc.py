@@ -5,7 +5,7 @@ canonical URL. If both have an entity tag, the tags must agree (weakly); otherwi
 revisit has a Last-Modified date, it must be the response's. A resolved record has the
 response's payload and headers, with the header fields that a 304 may update.
 
-The as-of join is a running maximum in two levels: inside slices of time of each URL, and over
+The as-of join is a running maximum in two levels: inside slices of time (cut at quantiles) of each URL, and over
 the last responses of a URL's slices, of which there are at most `slices`; so the records of
 one very frequent URL are spread over tasks. Payloads stay out of both.
 
@@ -46,9 +46,8 @@ def latest_before(events: DataFrame, slices: int = 64) -> DataFrame:
 
     The rows that aren't responses, with `found`: the latest earlier response of their url.
     """
-    span = events.agg(F.min("at").alias("a"), F.max("at").alias("b")).first()
-    first, width = span.a or 0, ((span.b or 0) - (span.a or 0)) // slices + 1
-    events = events.withColumn("slice", F.floor((F.col("at") - first) / width).cast("long"))
+    cuts = events.agg(F.percentile_approx("at", [i / slices for i in range(1, slices)] or [0.5], 10_000)).first()[0] or []
+    events = events.withColumn("slice", F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))).cast("array<bigint>"), lambda c: c < F.col("at"))))
     order = [F.col("at"), F.col("is_response"), F.col("id")]
     inside = F.last("response", ignorenulls=True).over(Window.partitionBy("url", "slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     asked = events.withColumn("inside", inside).where(~F.col("is_response")).drop("response")
@@ -87,7 +86,7 @@ def with_payloads(resolved: DataFrame, records: DataFrame, payload: str) -> Data
     return resolved.join(records.select(F.col("record_id").alias("response_id"), payload), "response_id", "left")
 
 
-def crawl(pages: DataFrame, later: int = 5000) -> DataFrame:
+def crawl(pages: DataFrame, later: int = 3) -> DataFrame:
     """Archive records of the page table: each page's full response, and a revisit of it `later` pages on.
 
     Pages have entity tags, but every third a date only.
@@ -121,7 +120,7 @@ WITH base AS (
 named AS (SELECT *, host || path || CASE WHEN query <> '' THEN '?' || query ELSE '' END AS u FROM base),
 asked AS (
   SELECT r.page_id, r.u, r.etag, r.last_modified, max(p.page_id) AS found
-  FROM named r LEFT JOIN named p ON p.u = r.u AND p.page_id * 2 < (r.page_id + 5000) * 2 + 1
+  FROM named r LEFT JOIN named p ON p.u = r.u AND p.page_id * 2 < (r.page_id + 3) * 2 + 1
   GROUP BY ALL),
 judged AS (
   SELECT a.page_id, a.u, p.page_id AS pid, p.digest, p.n,
@@ -134,7 +133,7 @@ judged AS (
 SELECT page_id * 2 + 1 AS record_id, u AS canonical_url, outcome,
        CASE WHEN outcome = 'resolved' THEN pid * 2 END AS response_id,
        CASE WHEN outcome = 'resolved' THEN digest END AS digest,
-       CASE WHEN outcome = 'resolved' THEN CAST(page_id + 5000 AS VARCHAR) END AS date,
+       CASE WHEN outcome = 'resolved' THEN CAST(page_id + 3 AS VARCHAR) END AS date,
        CASE WHEN outcome = 'resolved' THEN CAST(n AS VARCHAR) END AS content_length,
        CASE WHEN outcome = 'resolved' THEN 'max-age=60' END AS cache_control
 FROM judged

@@ -55,3 +55,18 @@ def test_pages_against_sql(spark):
     assert got.columns == [d[0] for d in con.description]
     assert sorted(map(tuple, got.collect())) == sorted(want)
     assert "resolved" in {w[2] for w in want}
+
+
+def test_the_query_meets_responses_that_come_later(spark):
+    """Some revisits lie between two responses of their URL: the latest earlier one isn't the latest of all."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    rows = warc.crawl(pages).withColumn("u", warc.canonical_url(warc.F.col("url"))).collect()
+    later = [r for r in rows if r.status == 304 and any(x.status == 200 and x.u == r.u and x.at > r.at for x in rows)]
+    assert later
+
+
+def test_repeated_records_and_one_wrong_date(spark):
+    one = (1, "http://a.org/x", 10, 200, '"e"', None, "d", {"x": "1"}, "")
+    rows = [one, one, (2, "http://a.org/x", 20, 304, '"e"', None, None, None, ""), (2, "http://a.org/x", 20, 304, '"e"', None, None, None, ""), (3, "http://a.org/x", 10**15, 304, '"e"', None, None, None, "")]
+    got = warc.resolve(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert [(r.record_id, r.outcome, r.response_id) for r in sorted(got)] == [(2, "resolved", 1), (2, "resolved", 1), (3, "resolved", 1)]
