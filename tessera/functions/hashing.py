@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-import hashlib
-import hmac
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from .text import collapse
 
@@ -49,14 +44,3 @@ def external_id(provider: Column, base: Column, sub: Column, most: int = 255) ->
     rest = F.concat_ws("::", base, F.nullif(sub, F.lit("")))
     whole = F.concat_ws("::", provider, rest)
     return F.when(F.length(whole) <= most, whole).otherwise(F.concat_ws("::", provider, F.sha1(rest)))
-
-
-def keyed_hash(salt: str, lower: bool = False):
-    """HMAC-SHA256 of a string column under a salt (there is no built-in one)."""
-    key = salt.encode()
-
-    @F.pandas_udf(StringType())
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: hmac.new(key, (x.strip().lower() if lower else x).encode(), hashlib.sha256).hexdigest(), na_action="ignore")
-
-    return run

@@ -145,6 +145,14 @@ def after_cursor(df: DataFrame, cursor: list, columns: list[tuple[str, bool]], l
     return df.where(cond).orderBy(*[F.desc(n) if d else F.asc(n) for n, d in columns]).limit(limit)
 
 
+def next_cursor(df: DataFrame, cursor: list, columns: list[tuple[str, bool]], limit: int) -> DataFrame:
+    """The key of a page's last row, as the cursor of the next one; no row if no row follows the page."""
+    names = [n for n, _ in columns]
+    page = after_cursor(df, cursor, columns, limit + 1).select(*names)
+    place = F.row_number().over(Window.orderBy(*[F.desc(n) if d else F.asc(n) for n, d in columns]))  # of limit + 1 rows
+    return page.withColumn("_k", place).withColumn("_n", F.count("*").over(Window.partitionBy())).where((F.col("_k") == limit) & (F.col("_n") > limit)).drop("_k", "_n")
+
+
 def recent_distinct(events: DataFrame, user: str, item: str, order: list[Column], scan: int = 20, keep: int = 10) -> DataFrame:
     """Of a user's `scan` newest events the first `keep` distinct items by first appearance."""
     w = Window.partitionBy(user)

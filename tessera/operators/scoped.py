@@ -142,6 +142,31 @@ def identifier(c: Column) -> Column:
     return F.when(digits.rlike("^[0-9a-f]{32}$"), F.concat_ws("-", *parts))
 
 
+def validated(requests: DataFrame, normalize: bool = False, cap: int = 200, top_k: int = 5) -> DataFrame:
+    """A router's checks of requests (tenant_id, top_k, max_candidates, visibility and collection_id as text).
+
+    error: the first that applies of collection, tenant, top_k, max_candidates, their relation
+    and visibility; null for a good request, which has effective_top_k, effective_max_candidates
+    and where they come from. With `normalize`, too few candidates are raised to top_k.
+    """
+    given = lambda c: F.when(F.trim(c) != "", F.trim(c))
+    whole = lambda c: F.when(given(c).rlike("^[+-]?[0-9]{1,9}$"), given(c).cast("int"))
+    bad = lambda c: given(c).isNotNull() & ~F.coalesce(whole(c) > 0, F.lit(False))
+    k = F.least(F.lit(10), F.greatest(F.lit(1), F.coalesce(whole(F.col("top_k")), F.lit(top_k))))
+    most = whole(F.col("max_candidates"))
+    shown = F.lower(F.trim("visibility"))
+    few = most < k
+    error = (
+        F.when(given(F.col("collection_id")).isNotNull() & identifier(F.col("collection_id")).isNull(), "ROUTER_COLLECTION_ID_INVALID").when(given(F.col("tenant_id")).isNull(), "ROUTER_TENANT_REQUIRED").when(bad(F.col("top_k")), "ROUTER_TOP_K_INVALID")
+        .when(bad(F.col("max_candidates")), "ROUTER_MAX_CANDIDATES_INVALID").when(F.lit(not normalize) & few, "ROUTER_MAX_CANDIDATES_LT_TOP_K").when(F.coalesce(shown, F.lit("")).isin("", "active", "deleted", "all"), None).otherwise("ROUTER_VISIBILITY_INVALID")
+    )
+    source = lambda c: F.when(given(c).isNull(), "from_default").otherwise("from_state")
+    pool = F.when(most.isNull(), F.greatest(k, F.lit(cap))).otherwise(F.least(F.lit(cap), F.greatest(most, k)))
+    out = requests.withColumn("error", error)
+    good = F.col("error").isNull()
+    return out.select("*", *[F.when(good, c).alias(n) for n, c in (("effective_top_k", k), ("top_k_source", source(F.col("top_k"))), ("effective_max_candidates", F.least(F.lit(cap), pool)), ("max_candidates_source", source(F.col("max_candidates"))))])
+
+
 # -- the two legs --------------------------------------------------------------------------------
 def prepared(queries: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Queries with all scope columns, named q_...; and the chunks that some query can see.

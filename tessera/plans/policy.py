@@ -242,3 +242,11 @@ def _(t):
 @query("graph_parents", "SELECT c.conv_id * 1000 + c.turn AS id, c.conv_id * 1000 AS parent FROM conversations c WHERE c.turn > 0 AND EXISTS (SELECT 1 FROM conversations p WHERE p.conv_id = c.conv_id AND p.turn = 0)")
 def _(t):
     return gr.parents(gr.edges(chunks(t)))
+
+
+@query("graph_references", "WITH c AS (SELECT conv_id * 1000 + turn AS id, conv_id * 1000 + turn * 2 AS one, (conv_id + 1) * 1000 AS two FROM conversations), r AS (SELECT id AS src, unnest([one, two, one]) AS dst FROM c), e AS (SELECT DISTINCT src, dst FROM r JOIN c ON c.id = dst) SELECT src, dst, 'reference' AS kind FROM e UNION ALL SELECT dst, src, 'backref' FROM e")
+def _(t):
+    key, none = F.col("conv_id") * 1000 + F.col("turn"), F.array().cast("array<long>")
+    refs = F.array(F.col("conv_id") * 1000 + F.col("turn") * 2, (F.col("conv_id") + 1) * 1000, F.col("conv_id") * 1000 + F.col("turn") * 2)
+    c = t.conversations.select(key.alias("id"), F.col("conv_id").alias("document"), F.col("role").alias("section"), F.col("turn").alias("ord"), none.alias("parents"), refs.alias("refs"))
+    return gr.edges(c).where("kind in ('reference', 'backref')")

@@ -196,6 +196,11 @@ def _(t):
     return rel.after_cursor(t.orders, [250000.0, 10], [("o_totalprice", True), ("o_orderkey", False)], 50).select("o_orderkey", "o_totalprice")
 
 
+@query("keyset_next", "WITH r AS (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS n, count(*) OVER () AS total FROM orders WHERE o_totalprice < 250000 OR o_totalprice = 250000 AND o_orderkey > 10) SELECT o_totalprice, o_orderkey FROM r WHERE n = 50 AND total > 50")
+def _(t):
+    return rel.next_cursor(t.orders, [250000.0, 10], [("o_totalprice", True), ("o_orderkey", False)], 50)
+
+
 @query("recent_distinct", "SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY f)::int AS rank FROM (SELECT user_id, event_type, min(r) AS f FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r <= 20 GROUP BY ALL)")
 def _(t):
     return rel.recent_distinct(t.events, "user_id", "event_type", [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_type", "rank")
@@ -220,13 +225,6 @@ def _(t):
 def _(t):
     return t.documents.where("n_chars >= 1000").withColumn("r", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id"))).where("r <= 3").select("source", "doc_id")
 
-
-@query("query_variants", "SELECT item_id, v, i - 1 AS pos FROM (SELECT item_id, unnest(vs) AS v, generate_subscripts(vs, 1) AS i FROM (SELECT item_id, list_distinct([lower(text), lower(text || ' overview')]) AS vs0, [lower(text), lower(text || ' overview')] AS vs FROM benchmark)) WHERE i <= 3")
-def _(t):
-    v = F.slice(F.array_distinct(F.array(F.lower("text"), F.lower(F.concat("text", F.lit(" overview"))), F.lower("text"))), 1, 3)
-    return t.benchmark.select("item_id", F.posexplode(v).alias("pos", "v")).select("item_id", "v", F.col("pos").cast("long").alias("pos"))
-
-
 RANKED = "ranked AS (SELECT doc_id % 40 AS query_id, doc_id AS id, row_number() OVER (PARTITION BY doc_id % 40 ORDER BY n_chars DESC, doc_id) AS rank FROM documents), relevant AS (SELECT doc_id % 40 AS query_id, doc_id AS id FROM labels WHERE quality = 1)"
 METRICS = f"WITH {RANKED}, s AS (SELECT query_id, count(*) AS n FROM relevant GROUP BY 1), h AS (SELECT query_id, count(*) AS hits, min(rank) AS first, sum(1 / log2(rank + 1)) AS dcg FROM ranked JOIN relevant USING (query_id, id) WHERE rank <= 10 GROUP BY 1), m AS (SELECT query_id, round(coalesce(hits / n, 0), 6)::double AS recall, round(coalesce(1.0::double / first, 0), 6)::double AS mrr, round(coalesce(dcg / list_sum(list_transform(range(1, least(10, n) + 1), lambda i: 1 / log2(i + 1))), 0), 6)::double AS ndcg FROM s LEFT JOIN h USING (query_id))"
 

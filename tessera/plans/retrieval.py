@@ -103,3 +103,9 @@ def _(t):
         F.when(i % 40 == 0, F.concat(F.lit("C"), "lang")).otherwise("x").alias("context_collection"), F.concat(F.lit("d"), i).alias("document_id"),
     )
     return re_.query_plan(q)
+
+
+@query("query_variants", "WITH q AS (SELECT item_id, trim(text, ' ') AS q FROM benchmark WHERE trim(text, ' ') <> ''), v AS (SELECT item_id, [q, q || ' overview', q || ' key facts'] AS first, [q, q || ' overview', q || ' key facts', q || ' background', q || ' general principles'] AS again FROM q) SELECT item_id, first, again FROM v")
+def _(t):
+    b = t.benchmark.where("trim(text) <> ''")
+    return b.select("item_id", re_.variants(F.col("text")).alias("first"), re_.variants(F.col("text"), True).alias("again"))

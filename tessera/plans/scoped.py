@@ -162,3 +162,15 @@ def _(t):
 @query("near_duplicate_probe_l2", f"{PARTS}, s AS (SELECT * REPLACE (round(greatest(0, 1 - least(1, similarity / sqrt(2 * (1 - 0.2)))), 6) AS similarity) FROM (SELECT u.id, e.id AS other, e.chunk, list_distance(u.v, e.v) AS similarity FROM u JOIN e ON u.id <> e.id AND u.scope IS NOT DISTINCT FROM e.scope) WHERE similarity <= sqrt(2 * (1 - 0.2)) + 1e-9) {BEST}")
 def _(t):
     return pr.near_documents(*parts(t), threshold=0.2, metric="l2")
+
+
+@query("router_validation", """WITH r AS (SELECT doc_id, CASE WHEN doc_id % 9 > 0 THEN lang ELSE ' ' END AS tenant, ([NULL, ' 3 ', '12', '0', 'x', '', '-1'])[1 + doc_id % 7] AS k, ([NULL, '2', '50', '900', '1.5', ' '])[1 + doc_id % 6] AS m, (['', 'ACTIVE', ' all', 'none', NULL])[1 + doc_id % 5] AS v, doc_id % 11 = 0 AS odd FROM documents),
+ n AS (SELECT *, least(10, greatest(1, coalesce(try_cast(trim(k) AS int), 5))) AS ek, try_cast(CASE WHEN regexp_matches(trim(m), '^[0-9]+$') THEN trim(m) END AS int) AS em FROM r),
+ e AS (SELECT *, CASE WHEN odd THEN 'ROUTER_COLLECTION_ID_INVALID' WHEN trim(tenant) = '' THEN 'ROUTER_TENANT_REQUIRED' WHEN trim(k) IN ('0', 'x', '-1') THEN 'ROUTER_TOP_K_INVALID' WHEN trim(m) = '1.5' THEN 'ROUTER_MAX_CANDIDATES_INVALID' WHEN em < ek THEN 'ROUTER_MAX_CANDIDATES_LT_TOP_K' WHEN v = 'none' THEN 'ROUTER_VISIBILITY_INVALID' END AS error FROM n)
+ SELECT doc_id, error, CASE WHEN error IS NULL THEN ek END::int AS effective_top_k, CASE WHEN error IS NULL THEN CASE WHEN coalesce(trim(k), '') = '' THEN 'from_default' ELSE 'from_state' END END AS top_k_source, CASE WHEN error IS NULL THEN least(200, coalesce(em, 200)) END::int AS effective_max_candidates,
+  CASE WHEN error IS NULL THEN CASE WHEN coalesce(trim(m), '') = '' THEN 'from_default' ELSE 'from_state' END END AS max_candidates_source FROM e""")
+def _(t):
+    i = F.col("doc_id")
+    pick = lambda *x: F.element_at(F.array(*map(F.lit, x)), (i % len(x) + 1).cast("int"))
+    r = t.documents.select(i, F.when(i % 9 > 0, F.col("lang")).otherwise(" ").alias("tenant_id"), pick(None, " 3 ", "12", "0", "x", "", "-1").alias("top_k"), pick(None, "2", "50", "900", "1.5", " ").alias("max_candidates"), pick("", "ACTIVE", " all", "none", None).alias("visibility"), F.when(i % 11 == 0, "odd").otherwise("").alias("collection_id"))
+    return sc.validated(r).select("doc_id", "error", "effective_top_k", "top_k_source", "effective_max_candidates", "max_candidates_source")

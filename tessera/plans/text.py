@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import hashing, text
+from ..functions import hashing, redaction, text
 from .registry import query
 
 WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}\p{Pc}]+')"
@@ -142,6 +142,15 @@ def _(t):
     return t.customer.select("c_nationkey").distinct().select("c_nationkey", hashing.tenant_uuid(F.concat(F.lit("Nation "), "c_nationkey")).alias("tenant"))
 
 
-@query("keyed_hash")
+PADS = ["".join(f"{x ^ pad:02x}" for x in b"salt".ljust(64, b"\0")) for pad in (0x36, 0x5C)]
+
+
+@query("keyed_hash", f"SELECT c_custkey, sha256(unhex('{PADS[1]}') || unhex(sha256(unhex('{PADS[0]}') || encode(lower(trim(c_name)))))) AS hashed FROM customer")
+def _(t):
+    return t.customer.select("c_custkey", redaction.keyed_hash(F.lower(F.trim("c_name")), "salt").alias("hashed"))
+
+
+@query("log_redaction")
 def _(t):
-    return t.customer.select("c_custkey", hashing.keyed_hash("salt", lower=True)(F.col("c_name")).alias("hashed"))
+    key = F.element_at(F.array(*map(F.lit, ("message", "user_email", "trace_id", "prompt"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    return t.documents.select("doc_id", key.alias("field"), F.sha2(redaction.redacted(key, F.col("text"), "salt", False), 256).alias("redacted_sha256"))
