@@ -157,3 +157,14 @@ def contract_errors(tenant: Column, workflow: Column, title: Column, tags: Colum
         F.when(language.isNotNull() & ~(language.rlike("^[A-Za-z0-9]{1,8}(-[A-Za-z0-9]{1,8})*$") & language.rlike("[A-Za-z]")), "language_invalid"),
         F.when(given(media_type).isNull(), "media_type_empty").when(~media.rlike("^[A-Za-z0-9_.+-]+/[A-Za-z0-9_.+-]+$"), "media_type_invalid"), F.when(bbox.isNotNull() & F.coalesce(box, F.lit(True)), "bbox_invalid"),
     ))
+
+
+def parse_statistics(documents: DataFrame, blocks: DataFrame, assets: DataFrame) -> DataFrame:
+    """document and its statistics: blocks, assets, and assets of each media type. blocks: document; assets: document, media_type."""
+    n = blocks.groupBy("document").agg(F.count("*").alias("b"))
+    kinds = assets.groupBy("document", "media_type").agg(F.count("*").alias("k"))
+    named = F.struct(F.concat(F.lit("parse.assets.media_type."), F.replace("media_type", F.lit("/"), F.lit("_"))).alias("key"), F.col("k").alias("value"))
+    per = kinds.groupBy("document").agg(F.sum("k").alias("a"), F.map_from_entries(F.array_sort(F.collect_list(F.when(F.coalesce("media_type", F.lit("")) != "", named)))).alias("m"))
+    total = F.create_map(F.lit("parse.blocks.total"), F.coalesce("b", F.lit(0)), F.lit("parse.assets.total"), F.coalesce("a", F.lit(0)))
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>"))
+    return documents.select("document").join(n, "document", "left").join(per, "document", "left").select("document", F.map_concat(total, F.coalesce("m", none)).alias("statistics"))

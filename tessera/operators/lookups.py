@@ -23,17 +23,17 @@ def of_version(chunks: DataFrame, wanted: DataFrame, limit: int | None = None, o
 
 
 def parent_context(documents: DataFrame, requests: DataFrame, cap: int = 0) -> DataFrame:
-    """document, parent_id, content, content_bytes, truncated of the requested parents that are there.
+    """tenant_id, document, parent_id, content, content_bytes, truncated of the requested parents that are there.
 
-    documents: document, parents (map of id to content). requests: document, parent_id (trimmed; blank ones ask
-    for nothing). Contents of over cap bytes are cut at a character; a cap of 0 cuts none.
+    documents: tenant_id, document, parents (map of id to content). requests: tenant_id, document, parent_id (trimmed;
+    blank ones ask for nothing); a document of another tenant isn't there. Contents of over cap bytes are cut at a character; a cap of 0 cuts none.
     """
-    asked = requests.select("document", F.trim("parent_id").alias("parent_id")).where("parent_id <> ''").distinct()
-    held = documents.select("document", F.explode("parents").alias("parent_id", "whole"))  # only ids and contents that are asked for leave the join
+    asked = requests.select("tenant_id", "document", F.trim("parent_id").alias("parent_id")).where("parent_id <> ''").distinct()
+    held = documents.select("tenant_id", "document", F.explode("parents").alias("parent_id", "whole"))  # only ids and contents that are asked for leave the join
     size = F.octet_length("whole")
     over = (size > cap) & F.lit(cap > 0)
     content = F.when(over, tx.truncate_bytes(F.col("whole"), cap)).otherwise(F.col("whole")) if cap > 0 else F.col("whole")
-    return held.join(asked, ["document", "parent_id"]).select("document", "parent_id", content.alias("content"), size.alias("content_bytes"), over.alias("truncated"))
+    return held.join(asked, ["tenant_id", "document", "parent_id"]).select("tenant_id", "document", "parent_id", content.alias("content"), size.alias("content_bytes"), over.alias("truncated"))
 
 
 def cache_get(cache: DataFrame, wanted: DataFrame, model: str, now: Column) -> DataFrame:

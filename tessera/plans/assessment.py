@@ -143,3 +143,16 @@ def _(t):
         F.when(i % 7 == 0, "").when(i % 7 == 1, "text").otherwise("Text/HTML ; charset=x"), F.when(i % 8 == 0, box(0, 0, 1, 1)).when(i % 8 == 1, box(0, 0, 1)).when(i % 8 == 2, box(0, 0, 0, 1)).when(i % 8 == 3, box(0, 0, 1, 1.5)).when(i % 8 == 4, box(0, 0, None, 1)),
     )
     return t.documents.select("doc_id", errors.alias("errors"))
+
+
+@query("media_counters", """WITH b AS (SELECT page_id, len(regexp_extract_all(lower(html), '<p[ >]')) AS n FROM pages), a AS (SELECT page_id, unnest(range(page_id % 4)) AS i FROM pages), k AS (SELECT page_id, (['image_png', 'text_html', NULL])[1 + (page_id + i) % 3] AS t FROM a),
+ c AS (SELECT page_id, t, count(*) AS n FROM k WHERE t IS NOT NULL GROUP BY ALL) SELECT page_id AS document, n AS blocks, page_id % 4 AS assets, (SELECT coalesce(string_agg('parse.assets.media_type.' || t || '=' || c.n, ',' ORDER BY t), '') FROM c WHERE c.page_id = b.page_id) AS media FROM b""")
+def _(t):
+    i = F.col("page_id")
+    p = t.pages.select(i.alias("document"), "html")
+    blocks = p.select("document", F.explode(F.regexp_extract_all(F.lower("html"), F.lit("<p[ >]"), F.lit(0)))).select("document")
+    kind = F.element_at(F.array(F.lit("image/png"), F.lit("text/html"), F.lit(None)), ((F.col("document") + F.col("k")) % 3 + 1).cast("int"))
+    assets = p.where("document % 4 > 0").select("document", F.explode(F.sequence(F.lit(0).cast("long"), F.col("document") % 4 - 1)).alias("k")).select("document", kind.alias("media_type"))
+    s = asm.parse_statistics(p, blocks, assets)
+    media = F.array_join(F.transform(F.array_sort(F.filter(F.map_entries("statistics"), lambda e: e["key"].startswith("parse.assets.media_type"))), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    return s.select("document", F.col("statistics")["parse.blocks.total"].alias("blocks"), F.col("statistics")["parse.assets.total"].alias("assets"), media.alias("media"))

@@ -32,14 +32,15 @@ def _(t):
 CUT = "left(whole, list_max(list_filter(range(0, 65), lambda n: strlen(left(whole, n)) <= 64)))"
 
 
-@query("parent_context", f"""SELECT document, parent_id, CASE WHEN strlen(whole) > 64 THEN {CUT} ELSE whole END AS content, strlen(whole)::int AS content_bytes, strlen(whole) > 64 AS truncated
-  FROM (SELECT doc_id AS document, 'd' || doc_id AS parent_id, text AS whole FROM documents WHERE doc_id % 3 <> 0 UNION ALL SELECT doc_id, 'source', source FROM documents) WHERE whole IS NOT NULL""")
+@query("parent_context", f"""SELECT tenant_id, document, parent_id, CASE WHEN strlen(whole) > 64 THEN {CUT} ELSE whole END AS content, strlen(whole)::int AS content_bytes, strlen(whole) > 64 AS truncated
+  FROM (SELECT lang AS tenant_id, doc_id AS document, 'd' || doc_id AS parent_id, text AS whole FROM documents WHERE doc_id % 3 <> 0 AND doc_id % 5 <> 0 UNION ALL SELECT lang, doc_id, 'source', source FROM documents WHERE doc_id % 5 <> 0) WHERE whole IS NOT NULL""")
 def _(t):
-    d = t.documents
-    own = F.concat(F.lit("d"), F.col("doc_id"))
-    parents = d.select(F.col("doc_id").alias("document"), F.create_map(own, F.col("text"), F.lit("source"), F.col("source"), F.lit("lang"), F.col("lang")).alias("parents"))
-    ids = F.array(F.when(F.col("doc_id") % 3 != 0, F.concat(F.lit(" "), own)), F.lit("source "), F.lit(" "), F.lit("none"))
-    return lk.parent_context(parents, d.select(F.col("doc_id").alias("document"), F.explode(ids).alias("parent_id")), 64)
+    d, key = t.documents, F.col("doc_id")
+    own = F.concat(F.lit("d"), key)
+    parents = d.select(F.col("lang").alias("tenant_id"), key.alias("document"), F.create_map(own, F.col("text"), F.lit("source"), F.col("source"), F.lit("lang"), F.col("lang")).alias("parents"))
+    ids = F.array(F.when(key % 3 != 0, F.concat(F.lit(" "), own)), F.lit("source "), F.lit(" "), F.lit("none"))
+    asked = d.select(F.when(key % 5 != 0, F.col("lang")).otherwise("other").alias("tenant_id"), key.alias("document"), F.explode(ids).alias("parent_id"))
+    return lk.parent_context(parents, asked, 64)
 
 
 @query("embedding_cache_ttl", f"""SELECT vec_id::varchar AS text_hash, CASE WHEN vec_id % 3 = 0 THEN {NOW} - INTERVAL 1 DAY ELSE {NOW} - to_days(label * 20) END AS created_at

@@ -33,8 +33,8 @@ def test_scope(spark):
 
 
 def test_parents(spark):
-    docs = spark.createDataFrame([("d", {"p": "äöü", "q": "abc", "r": None})], "document string, parents map<string, string>")
-    asked = spark.createDataFrame([("d", " p "), ("d", "p"), ("d", "q"), ("d", ""), ("d", "none"), ("e", "q"), ("d", None)], "document string, parent_id string")
+    docs = spark.createDataFrame([("t", "d", {"p": "äöü", "q": "abc", "r": None})], "tenant_id string, document string, parents map<string, string>")
+    asked = spark.createDataFrame([("t", "d", " p "), ("t", "d", "p"), ("t", "d", "q"), ("t", "d", ""), ("t", "d", "none"), ("t", "e", "q"), ("t", "d", None), ("u", "d", "r"), (None, "d", "p")], "tenant_id string, document string, parent_id string")
     got = {r.parent_id: (r.content, r.content_bytes, r.truncated) for r in lk.parent_context(docs, asked, 3).collect()}
     assert got == {"p": ("ä", 6, True), "q": ("abc", 3, False)}
     assert lk.parent_context(docs, asked).where("parent_id = 'p'").first().content == "äöü"
