@@ -80,7 +80,7 @@ def retrieve(queries: DataFrame, chunks: DataFrame, params: se.HybridParams | No
         if embed is not None:
             told = told.withColumn("v", embed(F.col("q")))
         wider = se.HybridParams(min(p.top_k + 2 * n, 2 * p.top_k), p.alpha, p.min_sim * 0.5**n, p.vec_limit, p.lex_limit, p.trgm_limit, min(p.max_candidates + 10 * n, 2 * p.max_candidates), p.rrf_k)
-        hits = sc.hybrid_search(told, chunks, wider, **how).hits.select("query_id.query_id", "query_id.variant", "id", "fused")
+        hits = sc.hybrid_search(told, chunks, wider, report=False, **how).hits.select("query_id.query_id", "query_id.variant", "id", "fused")
         matches = cut(merged(hits, wider.clamped().top_k))
         conf = active.select("query_id").join(rk.confidence(matches), "query_id", "left").fillna(0.0, ["top", "delta"])
         low = cut(conf.select("query_id", F.lit(n).alias("round"), "top", "delta", (((F.col("top") < 0.65) | (F.col("delta") < 0.05)) & F.lit(n < retries)).alias("again")))

@@ -276,17 +276,18 @@ def trigram_leg(queries: DataFrame, chunks: DataFrame, most: int, scope: Column,
 
 @dataclass
 class Search:
-    """hits: query_id, id, vrank, lrank, fused, rank, cutoff_fallback. report: one row a query, with all counts and limits."""
+    """hits: query_id, id, vrank, lrank, fused, rank, cutoff_fallback. report: one row a query, with all counts and limits; None if it wasn't asked for."""
 
     hits: DataFrame
-    report: DataFrame
+    report: DataFrame | None
 
 
-def hybrid_search(queries: DataFrame, chunks: DataFrame, params: se.HybridParams | None = None, mode: str = "bm25", requested: float | None = None, routing: bool = False) -> Search:
+def hybrid_search(queries: DataFrame, chunks: DataFrame, params: se.HybridParams | None = None, mode: str = "bm25", requested: float | None = None, routing: bool = False, report: bool = True) -> Search:
     """queries (query_id, q, v and scope columns) against chunks (id, text, v, tenant_id and scope columns).
 
     Both legs see only what is in a query's scope, before they are cut to their limits. mode trgm
     searches by trigrams, with the fallback; its queries may fill up with hits under the cutoff.
+    Without `report` the legs aren't run a second time for what the visibility filter holds back.
     """
     p = (params or se.HybridParams()).clamped()
     asked, held = prepared(queries, chunks)
@@ -303,17 +304,19 @@ def hybrid_search(queries: DataFrame, chunks: DataFrame, params: se.HybridParams
     fell = lex.groupBy("query_id").agg(F.count("*").alias("lexical_candidates"), F.max("fallback_limit").alias("fallback_limit_used"))
     together = cut(se.fused(vec, lex, p.alpha, p.rrf_k).join(fell.select("query_id", "fallback_limit_used"), "query_id", "left"))
     hits = se.cutoff(together, p.min_sim, p.top_k, promote=F.col("fallback_limit_used").isNotNull()).drop("fallback_limit_used")
+    if not report:
+        return Search(hits, None)
 
     _, unfiltered = prepared(queries.withColumn("visibility", F.lit("all")), chunks)
     any_vec, any_lex = legs(seen(routing, deleted=True), unfiltered)
     total = any_vec.select("query_id", "id").union(any_lex.select("query_id", "id")).distinct().groupBy("query_id").agg(F.count("*").alias("cached_total_candidates"))
     scored = together.groupBy("query_id").agg(F.count("*").alias("fused_candidates"), F.count_if(F.col("fused") < p.min_sim).alias("below_cutoff"))
     given = hits.groupBy("query_id").agg(F.count_if(~F.col("cutoff_fallback")).alias("returned_after_cutoff"), F.count("*").alias("returned"))
-    report = asked.select("query_id", F.col("q_visibility").alias("visibility"), vectors.unit(F.col("v")).isNull().alias("query_embedding_empty"))
+    told = asked.select("query_id", F.col("q_visibility").alias("visibility"), vectors.unit(F.col("v")).isNull().alias("query_embedding_empty"))
     for part in (vec.groupBy("query_id").agg(F.count("*").alias("vector_candidates")), fell, scored, given, total):
-        report = report.join(part, "query_id", "left")
+        told = told.join(part, "query_id", "left")
     counts = ["vector_candidates", "lexical_candidates", "fused_candidates", "below_cutoff", "returned_after_cutoff", "returned", "cached_total_candidates"]
-    report = report.fillna(0, counts).withColumn("cached_total_candidates", F.when(F.col("visibility") == "active", F.col("cached_total_candidates")))
+    told = told.fillna(0, counts).withColumn("cached_total_candidates", F.when(F.col("visibility") == "active", F.col("cached_total_candidates")))
     blocked = F.greatest(F.lit(0), F.col("cached_total_candidates") - F.col("vector_candidates") - F.col("lexical_candidates"))
     constants = {"alpha": F.lit(p.alpha), "min_sim": F.lit(p.min_sim), "vec_limit": F.lit(p.vec_limit), "lex_limit": F.lit(p.lex_limit), "applied_trgm_limit": F.lit(p.trgm_limit if mode == "trgm" else None).cast("double"), "lexical_index_used": F.lit("trigram" if mode == "trgm" else "words")}
-    return Search(hits, report.withColumns({"deleted_matches_blocked": F.coalesce(blocked, F.lit(0)), **constants}))
+    return Search(hits, told.withColumns({"deleted_matches_blocked": F.coalesce(blocked, F.lit(0)), **constants}))

@@ -59,6 +59,17 @@ def _(t):
     return t.documents.select("doc_id", F.md5(files.decode_payload(F.encode(F.base64(F.encode(F.col("text"), "UTF-8")), "UTF-8"), F.lit("base64"))).alias("text_md5"))
 
 
+@query("payload_charsets", "SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'utf-16be' WHEN 1 THEN 'utf-16' WHEN 2 THEN 'iso-8859-1' WHEN 3 THEN '' WHEN 4 THEN 'utf-8' ELSE '' END AS charset, md5(CASE WHEN doc_id % 6 = 2 THEN 'é' || doc_id WHEN doc_id % 6 = 5 THEN 'ü' || doc_id ELSE text END) AS text_md5 FROM documents")
+def _(t):
+    i, text = F.col("doc_id"), F.col("text")
+    content = (
+        F.when(i % 6 == 0, F.encode(text, "UTF-16BE")).when(i % 6 == 1, F.encode(text, "UTF-16")).when(i % 6 == 2, F.encode(F.concat(F.lit("é"), i), "ISO-8859-1")).when(i % 6 == 3, F.concat(F.unhex(F.lit("EFBBBF")), F.encode(text, "UTF-8")))
+        .when(i % 6 == 4, F.encode(text, "UTF-8")).otherwise(F.encode(F.concat(F.lit("ü"), i), "ISO-8859-1"))
+    )
+    kind = F.when(i % 6 == 0, "text/plain; charset=UTF-16BE").when(i % 6 == 1, 'text/html;charset="utf-16"').when(i % 6 == 2, "text/plain; a=b; Charset = ISO-8859-1 ; c=d").when(i % 6 == 3, "text/plain").when(i % 6 == 4, "text/plain; charset=utf-8")
+    return t.documents.select("doc_id", files.declared_charset(kind).alias("charset"), F.md5(files.declared_text(content, kind)).alias("text_md5"))
+
+
 @query("chunks_plain")
 def _(t):
     return ch.chunked(t.documents).groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum("n_sentences").alias("sentences"))

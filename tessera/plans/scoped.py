@@ -60,7 +60,7 @@ def asked(t):
 
 @query("scoped_hybrid_search", FUSED + " SELECT query_id, id, vrank::int AS vrank, lrank::int AS lrank, fused, rank::int AS rank FROM hits")
 def _(t):
-    return sc.hybrid_search(asked(t), chunks(t)).hits.select("query_id", "id", "vrank", "lrank", "fused", "rank")
+    return sc.hybrid_search(asked(t), chunks(t), report=False).hits.select("query_id", "id", "vrank", "lrank", "fused", "rank")
 
 
 REPORT = FUSED + f""", {leg_sql('true', '_any')},

@@ -203,6 +203,24 @@ def decode_payload(content: pd.Series, encoding: pd.Series) -> pd.Series:
     return pd.Series([one(r, h) for r, h in zip(content, encoding)], dtype=object)
 
 
+#: Names of charsets that a payload may declare, as Spark calls them.
+CHARSETS = {"utf-16be": "UTF-16BE", "utf-16le": "UTF-16LE", "utf-16": "UTF-16", "utf-32": "UTF-32", "iso-8859-1": "ISO-8859-1", "latin-1": "ISO-8859-1", "us-ascii": "US-ASCII"}
+
+
+def declared_charset(content_type: Column) -> Column:
+    """The charset parameter of a content type in lower case; empty if there is none."""
+    return F.lower(F.regexp_extract(F.coalesce(content_type, F.lit("")), r"(?i);\s*charset\s*=\s*[\"']?([^\"';\s]+)", 1))
+
+
+def declared_text(content: Column, content_type: Column) -> Column:
+    """Text of bytes by the charset that their content type declares; else UTF-8 where they are valid, without its mark, else Latin-1."""
+    named, raw = declared_charset(content_type), content.cast("string")
+    out = F.when(content.isNull(), None)
+    for name, charset in CHARSETS.items():
+        out = out.when(named == name, F.decode(content, charset))
+    return out.when(F.is_valid_utf8(raw), F.regexp_replace(raw, "^\ufeff", "")).otherwise(F.decode(content, "ISO-8859-1"))
+
+
 def eval_set(spark: SparkSession, path: str) -> DataFrame:
     """Evaluation cases of a JSON-lines file; rows that don't parse are dropped."""
     schema = "query_id string, question string, expected_ids array<string>, top_k int, _bad string"
