@@ -59,6 +59,15 @@ def _(t):
     return t.documents.select("doc_id", F.md5(files.decode_payload(F.encode(F.base64(F.encode(F.col("text"), "UTF-8")), "UTF-8"), F.lit("base64"))).alias("text_md5"))
 
 
+@query("object_sink", "SELECT doc_id, lang, CASE WHEN lang = 'en' THEN 'new' ELSE md5(text) END AS text_md5, source FROM documents")
+def _(t):
+    path, d = scratch(t, "objects"), t.documents.select("doc_id", "lang", F.encode(F.md5("text"), "UTF-8").alias("payload"), "source")
+    files.store_objects(d, path, "lang")
+    files.store_objects(d.where("lang = 'en'").withColumn("payload", F.encode(F.lit("new"), "UTF-8")), path, "lang")
+    held = files.stored_objects(t.spark, path, "doc_id long, lang string, payload binary, source string")
+    return held.select("doc_id", "lang", F.decode("payload", "UTF-8").alias("text_md5"), "source")
+
+
 @query("payload_charsets", "SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'utf-16be' WHEN 1 THEN 'utf-16' WHEN 2 THEN 'iso-8859-1' WHEN 3 THEN '' WHEN 4 THEN 'utf-8' ELSE '' END AS charset, md5(CASE WHEN doc_id % 6 = 2 THEN 'é' || doc_id WHEN doc_id % 6 = 5 THEN 'ü' || doc_id ELSE text END) AS text_md5 FROM documents")
 def _(t):
     i, text = F.col("doc_id"), F.col("text")

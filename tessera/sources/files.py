@@ -203,6 +203,22 @@ def decode_payload(content: pd.Series, encoding: pd.Series) -> pd.Series:
     return pd.Series([one(r, h) for r, h in zip(content, encoding)], dtype=object)
 
 
+def store_objects(rows: DataFrame, path: str, by: str) -> None:
+    """Rows as JSON objects under a folder for each value of a column, in whatever store the path names; bytes become base64. Folders that get no rows stay as they are."""
+    texts = [F.base64(c).alias(c) if t == "binary" else F.col(c) for c, t in rows.dtypes]
+    rows.select(*texts).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).option("compression", "gzip").json(path)
+
+
+def stored_objects(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of store_objects(): schema names their columns and kinds, bytes among them."""
+    from pyspark.sql.types import _parse_datatype_string
+
+    kinds = _parse_datatype_string(schema)
+    text = ", ".join(f"{f.name} {'string' if f.dataType.simpleString() == 'binary' else f.dataType.simpleString()}" for f in kinds)
+    rows = spark.read.schema(text).json(path)
+    return rows.select(*[F.unbase64(f.name).alias(f.name) if f.dataType.simpleString() == "binary" else F.col(f.name) for f in kinds])
+
+
 #: Names of charsets that a payload may declare, as Spark calls them.
 CHARSETS = {"utf-16be": "UTF-16BE", "utf-16le": "UTF-16LE", "utf-16": "UTF-16", "utf-32": "UTF-32", "iso-8859-1": "ISO-8859-1", "latin-1": "ISO-8859-1", "us-ascii": "US-ASCII"}
 
