@@ -62,13 +62,18 @@ def breaker(events: DataFrame, most: int = 3, seconds: int = 60) -> DataFrame:
 
 
 def changes(docs: DataFrame) -> DataFrame:
-    """key, status, version: new, unchanged or changed by the last hash seen of a key. docs: key, at, hash."""
+    """key, status, version: new, unchanged or changed by the last hash seen of a key. docs: key, at, hash.
+
+    Of what one trigger brings of a key only times and hashes are held, to put them in order; the
+    stream's own limit of files or rows a trigger bounds them. A key's state is its last hash and
+    version, and stays: a key that was forgotten would be new again.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, version = state.get if state.exists else (None, 0)
-        rows = pd.concat(list(batches)).sort_values("at")
+        seen = sorted((at, h) for b in batches for at, h in zip(b["at"], b["hash"], strict=True))
         out = []
-        for h in rows["hash"]:
+        for _, h in seen:
             status = "new" if last is None else "unchanged" if h == last else "changed"
             version += status != "unchanged"
             last = h
