@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import arrow_rows, cut, shuffle_width
+from .shared import cut, shuffle_width
 
 #: Segments as (shift, bits).
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -62,16 +62,19 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
 
 
+def fingerprinted(batches: Iterator[pa.RecordBatch], shingle: int = 3) -> Iterator[pa.RecordBatch]:
+    """Batches with fp for text. One text is a Python string at a time; the other columns stay as they are."""
+    for b in batches:
+        fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in b.column("text")), np.uint64, b.num_rows)
+        names = [n for n in b.schema.names if n != "text"]
+        yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(fps.view(np.int64))], names=[*names, "fp"])
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3, keyed: bool = False) -> DataFrame:
     """doc_id and fp, the fingerprint as a signed long; if `keyed`, text_key too, a hash of the text."""
 
-    def rows(batches: Iterator[dict]) -> Iterator[dict]:
-        for b in batches:
-            fps = np.array([fingerprint(t, shingle) for t in b.pop("text")], np.uint64)
-            yield b | {"fp": fps.view(np.int64).tolist()}
-
     key = [F.md5("text").alias("text_key")] if keyed else []
-    return arrow_rows(docs.select(F.col("doc_id").cast("long"), "text", *key), rows, "doc_id long, text_key string, fp long" if keyed else "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), "text", *key).mapInArrow(lambda batches: fingerprinted(batches, shingle), "doc_id long, text_key string, fp long" if keyed else "doc_id long, fp long")
 
 
 @lru_cache(maxsize=1)
@@ -153,8 +156,8 @@ def links(distinct: DataFrame, errors: int = 3, dense: int = 4096) -> DataFrame:
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = b.column("fp").to_numpy(zero_copy_only=False)
-            for at in range(0, len(fps), 4096):
-                part = fps[at : at + 4096]
+            for at in range(0, len(fps), 512):
+                part = fps[at : at + 512]
                 who, key, _ = keys(part)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part[who])], names=["key", "fp"])
 
