@@ -38,8 +38,13 @@ from pyspark.sql import functions as F
 from .shared import WORD_MODEL, arrow_rows, shuffle_width, tokenizer_file, written
 
 MAGIC, VERSION = b"TIDS", 1
+#: Marks that end words; the library makes a run of them one token of its own wherever it follows a letter or digit and ends the word.
+MARKS = ".,;:!?$#&%*"
 #: What isn't a Latin letter (lower-cased letter by letter) or a lesser character; a closing mark between a letter or digit and a word's end.
 NOT_LATIN, CLOSING = re.compile("[\u0130\u0250-\U0010ffff]"), re.compile(r"[.,;:!?](?![^ \n])(?<=[0-9a-zà-öø-ÿ].)")
+#: What tells a text that has rarer marks or runs of marks, for which there is a slower pattern: one to three marks.
+RARER = ("$", "#", "&", "%", "*", "!!", "??")
+RUNS = re.compile(r"[M](?:(?![^ \n])(?<=L.)|[M](?:(?![^ \n])(?<=L..)|[M](?![^ \n])(?<=L...)))".replace("M", MARKS).replace("L", "[0-9a-zà-öø-ÿ]"))
 HEAD, ROW = struct.Struct("<4sBB32sI"), struct.Struct("<BqQI")
 
 
@@ -72,7 +77,7 @@ class WordTable(dict):
         (composed, and lower-cased letter by letter) is one pre-token, which goes to the
         library's merges without its normalizer. All else is encoded by the whole library.
         """
-        core = word.rstrip(".,;:!?")
+        core = word.rstrip(MARKS)
         if core and core != word and (core if core.isascii() else self.tokenizer.normalizer.normalize_str(core))[-1:].isalnum():
             return self[core] + self[word[len(core) :]]
         if word.isalpha() and max(word) < "\u0250" and "\u0130" not in word:
@@ -108,7 +113,9 @@ class WordTable(dict):
         if not text.isascii() and NOT_LATIN.search(text):
             return text
         low = text.lower()
-        return text if any(s in low for s in self.special) else CLOSING.sub(r" \g<0>", low)
+        if any(s in low for s in self.special):
+            return text
+        return (RUNS if any(m in low for m in RARER) else CLOSING).sub(r" \g<0>", low)
 
 
 @lru_cache(maxsize=4)

@@ -61,3 +61,17 @@ def test_the_sample_is_bounded_whatever_the_ids(spark):
     assert len(got) == len(rows) and sum(r.doc_id is None for r in got) == 500
     assert sorted(r.n_tokens for r in got)[-1] > 30_000
     assert all(a.start + a.n_tokens == b.start for a, b in zip(sorted(got, key=lambda r: r.start), sorted(got, key=lambda r: r.start)[1:]))
+
+
+def test_marks_at_words_ends_are_words_of_their_own():
+    """Runs of marks add no form of a word to the table, and any run in any place gives the library's ids."""
+    table = tf.WordTable(WORD_MODEL)
+    text = "Alpha$$$ alpha*** alpha%. Alpha!? alpha&&&\nalpha### alpha"
+    assert np.frombuffer(table.serialized(text, 1), "<u2").tolist() == ids(text)
+    assert sum("alpha" in word for word in table) == 1
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.sampled_from("aB9é '\n\t.,!$#&%*@-<|>ćΣ̇²"), max_size=24))
+def test_runs_of_marks_give_the_ids_of_the_text(text):
+    assert np.frombuffer(tf.word_table(WORD_MODEL).serialized(text, 1), "<u2").tolist() == ids(text)
